@@ -37,9 +37,15 @@ def agg1_facet_counts(t):
     return t("part").where(F.col("p_brand").isNotNull()).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_brand").limit(60)
 
 
+def _load() -> None:
+    from tidewater.plans import relational_queries  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
