@@ -38,7 +38,7 @@ def agg1_facet_counts(t):
 
 
 def _load() -> None:
-    from tidewater.plans import relational_queries  # noqa: F401  registers its queries
+    from tidewater.plans import relational_queries, text_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
