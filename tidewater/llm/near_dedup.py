@@ -10,10 +10,10 @@ The steps:
    is its leader, and the other members are compared with it, not with each other.
 3. Pairs are compared by their minima first (dropped far below the threshold) and
    then on their whole sets; links go to large-star and small-star components.
-4. Buckets whose members are still in different components have their members
-   compared across components (never within one), each pair in its first common
-   bucket only, so no candidate pair is left out, while a group of n near copies
-   costs about n comparisons and not n * n.
+4. The members of buckets that still hold several components are compared across
+   components (never within one) by exact prefix and position filters over their whole
+   sets, so no link between them is left out, while a group of n near copies costs
+   about n comparisons and not n * n.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8**4)**32 < 1e-7.
 """
@@ -142,13 +142,88 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, k: int,
     return materialise(sure, f"{name}-links")
 
 
-def _pairs_across(mixed: DataFrame) -> DataFrame:
-    """Pairs of classes from different components of a bucket, each in its first common bucket only."""
-    first = F.element_at(F.filter(F.arrays_zip("a_bands", "b_bands"), lambda z: z["a_bands"] == z["b_bands"]), 1)["a_bands"]
-    a = mixed.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "component", "bands")])
-    b = mixed.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "component", "bands")])
-    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a_component") < F.col("b_component")) & (first == a["bucket"]))
-    return met.select(F.least("a_doc_id", "b_doc_id").alias("v"), F.greatest("a_doc_id", "b_doc_id").alias("u"))
+def _unique_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for a, b, hashes, at in words.text_shingles(texts, k, fold=True):
+        for i in range(b - a):
+            yield np.unique(hashes[at[i] : at[i + 1]])
+
+
+def _counts(k: int, bits: int):
+    """(cell, n): how many of the sets' shingles fall into each of 2**bits cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for own in _unique_sets(batch.column("text"), k):
+                np.add.at(total, (own >> np.uint64(64 - bits)).astype(np.int64), 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+    return run
+
+
+def _prefixes(k: int, numerator: int, denominator: int, bits: int, counts_of):
+    """(token, doc_id, component, size, rest): each set's rarest shingles, as many as a link needs to share one of; rest: how many come after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counts_of()
+        for batch in batches:
+            found, lengths, sizes, rests = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+            for own in _unique_sets(batch.column("text"), k):
+                n = len(own)
+                p = n - -(-numerator * n // denominator) + 1
+                order = np.lexsort((own, counts[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:p]
+                found.append(own[order])
+                rests.append(n - 1 - np.arange(len(order)))
+                lengths.append(len(order))
+                sizes.append(n)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(row), batch.column("component").take(row),
+                    pa.array(np.array(sizes, np.int64)).take(row), pa.array(np.concatenate(rests)),
+                ],
+                names=["token", "doc_id", "component", "size", "rest"],
+            )
+
+    return run
+
+
+def _pairs_across(mixed: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """All pairs (u, v) of mixed (doc_id, component, text) from different components that may be links.
+
+    An exact filter, not a sampled one: in any order of all shingles, the first shingle that
+    two linked sets share is among the first n - ceil(t * n) + 1 of each, and no more than
+    1 + min(rest) of them can be shared in all. With the rare shingles first, sets that
+    were edited in many places meet none of their group, and pairs are formed between
+    components only, after a look at what their members can reach at best.
+    """
+    spark = mixed.sparkSession
+    n = mixed.count()
+    bits = min(20, max(16, n.bit_length()))
+    counts = np.zeros(1 << bits, np.int64)
+    for r in mixed.select("text").mapInArrow(_counts(k, bits), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["cell"]] = r["n"]  # at most 2**20 rows
+    shared = spark.sparkContext.broadcast(counts)
+    tokens = mixed.select("doc_id", "component", "text").mapInArrow(
+        _prefixes(k, numerator, denominator, bits, lambda: shared.value), "token long, doc_id long, component long, size long, rest long"
+    )
+    tokens = materialise(tokens, "prefixes")
+    groups = tokens.groupBy("token", "component").agg(F.max("rest").alias("rest"), F.min("size").alias("size"))
+    split = groups.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    groups = materialise(groups.join(split, "token"), "groups")
+
+    def reaches(rest_a: str, rest_b: str, size_a: str, size_b: str) -> Column:
+        return (1 + F.least(rest_a, rest_b)) * (numerator + denominator) >= numerator * (F.col(size_a) + F.col(size_b))
+
+    a, b = (groups.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "rest", "size")]) for x in "ab")
+    met = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & reaches("rest_a", "rest_b", "size_a", "size_b"))
+    met = met.select("token", "component_a", "component_b", F.col("rest_b").alias("best_b"), F.col("size_b").alias("least_b"))
+    left = tokens.select("token", F.col("component").alias("component_a"), F.col("doc_id").alias("x"), F.col("rest").alias("rest_x"), F.col("size").alias("size_x"))
+    right = tokens.select("token", F.col("component").alias("component_b"), F.col("doc_id").alias("y"), F.col("rest").alias("rest_y"), F.col("size").alias("size_y"))
+    met = met.join(left, ["token", "component_a"]).where(reaches("rest_x", "best_b", "size_x", "least_b"))
+    met = met.join(right, ["token", "component_b"]).where(reaches("rest_x", "rest_y", "size_x", "size_y"))
+    return met.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -183,8 +258,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     placed = met.select("doc_id", "bucket").join(found, met["doc_id"] == found["id"], "left")
     placed = placed.select("doc_id", "bucket", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    mixed = placed.join(split, "bucket").join(signed.select("doc_id", "bands"), "doc_id")
-    rest = _pairs_across(mixed).distinct().join(pairs, ["u", "v"], "left_anti")
+    mixed = placed.join(split, "bucket", "left_semi").select("doc_id", "component").distinct()
+    mixed = materialise(texts.join(mixed, "doc_id").select("doc_id", "component", "text"), "mixed")
+    rest = _pairs_across(mixed, k, numerator, denominator).join(pairs, ["u", "v"], "left_anti")
     more = _verified(materialise(rest, "rest"), signed, texts, k, numerator, denominator, "rest")
     found = components(links.unionByName(more))
 
