@@ -124,11 +124,11 @@ def dat2_deadline(t):
     return D.with_deadline(_dated(t), "text", "country", NOW).select("o_orderkey", "deadline.kind", "deadline.date", "deadline.certainty")
 
 
-@query("select o_orderkey, (date_part('year', o_orderdate)::int)::varchar || '/' || lpad(((date_part('year', o_orderdate)::int + 1) % 100)::varchar, 2, '0') as year, 'two years' as duration from orders")
+@query("select o_orderkey, (date_part('year', o_orderdate)::int)::varchar || '/' || lpad(((date_part('year', o_orderdate)::int + 1) % 100)::varchar, 2, '0') as year, 'for two years' as duration from orders")
 def dat3_academic_year(t):
     y = F.year("o_orderdate")
-    text = F.concat(F.lit("Entry in "), y, F.lit("/"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"), F.lit(" for two years"))
-    return t("orders").select("o_orderkey", D.first_match(text, D.ACADEMIC_YEAR).alias("year"), D.first_match(text, D.DURATION).alias("duration"))
+    text = F.concat(F.lit("Entry in "), y, F.lit("/"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"), F.lit(", funded for two years"))
+    return t("orders").select("o_orderkey", D.academic_year(text).alias("year"), D.duration(text).alias("duration"))
 
 
 @query("select o_orderkey, (timestamp '2029-03-03' + to_days((o_orderkey % 28)::int) + interval '23 hours 59 minutes 59.999 seconds')::timestamp as date from orders")
