@@ -149,10 +149,10 @@ def dat7_backoff(t):
     return t("part").select("p_partkey", R.backoff_minutes(c("p_size") % 12).alias("minutes"))
 
 
-@query("select p_partkey, (round(p_retailprice * 100)::bigint / 100.0)::double as amount, 'GBP' as currency, 'per year' as period from part where p_retailprice >= 0")
+@query("select p_partkey, (round((p_retailprice + 1000) * 100)::bigint / 100.0)::double as amount, 'GBP' as currency, 'per year' as period from part")
 def mth1_money(t):
-    text = F.concat(F.lit("A stipend of £"), F.format_number(F.round("p_retailprice", 2), 2), F.lit(" per year"))
-    m = t("part").where("p_retailprice >= 0").select("p_partkey", M.parse_money(text).alias("m"))
+    text = F.concat(F.lit("A stipend of £"), F.format_number(F.round(c("p_retailprice") + 1000, 2), 2), F.lit(" per year"))
+    m = t("part").select("p_partkey", M.parse_money(text).alias("m"))
     return m.select("p_partkey", "m.amount", "m.currency", "m.period")
 
 
