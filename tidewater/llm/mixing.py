@@ -52,15 +52,17 @@ class Mix:
 
 
 def _keyed(docs: DataFrame, mix: Mix) -> DataFrame:
-    if "_key" in docs.columns:
-        return docs
+    """row (all columns of docs), doc_id, source, size and key; docs may have columns of any name."""
     known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.withColumns({"_size": n_words(F.col("text")), "_key": _hash(F.lit(str(mix.seed)), known)})
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        n_words(F.col("text")).alias("size"), _hash(F.lit(str(mix.seed)), known).alias("key"),
+    )
 
 
 def _slim(docs: DataFrame, mix: Mix) -> DataFrame:
     """What the plan needs of each row, counted once and written to the shared folder."""
-    return materialise(_keyed(docs, mix).select("doc_id", F.col("source").cast("string").alias("source"), "_size", "_key"), "mix")
+    return materialise(_keyed(docs, mix).select("doc_id", "source", "size", "key"), "mix")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -112,16 +114,16 @@ def split_quotas(blocks: dict, shards: int, seed: int) -> dict:
     return {n: out[i].tolist() for i, n in enumerate(names)}
 
 
-def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row for each source: source, source_size, target, n_blocks, held (blocks that have rows), passes, cut_order, cut_block, cut_keys and bounds.
+def plan(slim: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix of rows (source, size, key) as one row for each source: source, source_size, target, n_blocks, held (blocks that have rows), passes, cut_order, cut_block, cut_keys and bounds.
 
     The documents of the blocks before (cut_order, cut_block), and those of this block
     whose keys are in cut_keys, are read passes + 1 times, the others passes times. bounds: for each shard the end of its range in the
     source's sequence of blocks.
     """
-    spark = docs.sparkSession
-    keyed = (docs if "_key" in docs.columns else _slim(docs, mix)).select("source", "_size", "_key")
-    sizes = keyed.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    spark = slim.sparkSession
+    keyed = slim.select("source", "size", "key")
+    sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     rows = targets(sizes, mix.weights).limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -134,8 +136,8 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sources = spark.createDataFrame(told, schema)
 
     placed = keyed.join(_small(sources.select(F.col("source").alias("s"), "n_blocks", "rest")), F.col("source").eqNullSafe(F.col("s")), "inner")
-    placed = placed.withColumn("block", F.pmod(F.col("_key"), F.col("n_blocks"))).withColumn("order", block_order(F.col("s"), F.col("block"), mix))
-    blocks = placed.groupBy("s", "order", "block", "rest").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n"))
+    placed = placed.withColumn("block", F.pmod(F.col("key"), F.col("n_blocks"))).withColumn("order", block_order(F.col("s"), F.col("block"), mix))
+    blocks = placed.groupBy("s", "order", "block", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     in_order = Window.partitionBy("s").orderBy("order", "block")
     blocks = blocks.withColumns({"rank": F.row_number().over(in_order) - 1, "end": F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))})
     cut = blocks.where((F.col("end") >= F.col("rest")) & (F.col("end") - F.col("words") < F.col("rest")) & (F.col("rest") > 0))
@@ -145,13 +147,13 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # The documents of each source's cut block, large ones first, that still fit under the target. A block
     # has about rows_per_block keys, however large the source.
     inside = placed.join(_small(cut.select(F.col("s").alias("t"), "cut_order", "cut_block", "lack")), F.col("s").eqNullSafe(F.col("t")) & (F.col("order") == F.col("cut_order")) & (F.col("block") == F.col("cut_block")))
-    same = inside.groupBy("s", "lack", "_key").agg(F.sum("_size").alias("w"))
-    queue = same.groupBy("s", "lack").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "_key"))).alias("q"))
+    same = inside.groupBy("s", "lack", "key").agg(F.sum("size").alias("w"))
+    queue = same.groupBy("s", "lack").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "key"))).alias("q"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("keys"))
 
     def step(done: Column, one: Column) -> Column:
         near = done["sum"] - one["w"] <= F.col("lack")
-        return F.struct(F.when(near, done["sum"] - one["w"]).otherwise(done["sum"]).alias("sum"), F.when(near, F.concat(done["keys"], F.array(one["_key"]))).otherwise(done["keys"]).alias("keys"))
+        return F.struct(F.when(near, done["sum"] - one["w"]).otherwise(done["sum"]).alias("sum"), F.when(near, F.concat(done["keys"], F.array(one["key"]))).otherwise(done["keys"]).alias("keys"))
 
     last = queue.select("s", F.aggregate("q", start, step)["keys"].alias("cut_keys"))
     held = blocks.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
@@ -182,24 +184,20 @@ def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources)
 
 
-_PLANNED = ("_size", "_source_size", "_target", "_copies", "_held", "_order", "_block", "_bounds", "_key")
-
-
-def mixed(docs: DataFrame, told: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs with the columns _PLANNED; _copies is how often the mix reads the row (0 to MOST).
+def mixed(keyed: DataFrame, told: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Keyed rows with their source's plan (p_ columns), block, order and copies: how often the mix reads the row (0 to MOST).
 
     Nothing is shuffled: all that a row needs is in its source's row of the plan. Null
     texts have no words; they are read with the block that they fall into. A null source
     is a source. Repeated rows fall together.
     """
-    rows = _keyed(docs, mix).join(_small(told.select(*[F.col(c).alias(f"_{c}") for c in told.columns])), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_block", F.pmod(F.col("_key"), F.col("_n_blocks")))
-    rows = rows.withColumn("_order", block_order(F.col("source"), F.col("_block"), mix))
-    before = (F.col("_order") < F.col("_cut_order")) | ((F.col("_order") == F.col("_cut_order")) & (F.col("_block") < F.col("_cut_block")))
-    inside = (F.col("_order") == F.col("_cut_order")) & (F.col("_block") == F.col("_cut_block")) & F.array_contains("_cut_keys", F.col("_key"))
-    extra = F.coalesce((before | inside).cast("int"), F.lit(0))
-    own = [c for c in docs.columns if c not in _PLANNED]
-    return rows.withColumn("_copies", F.col("_passes") + extra).select(*own, *_PLANNED)
+    rows = keyed.join(_small(told.select(*[F.col(c).alias(f"p_{c}") for c in told.columns])), F.col("source").eqNullSafe(F.col("p_source")))
+    rows = rows.withColumn("block", F.pmod(F.col("key"), F.col("p_n_blocks")))
+    rows = rows.withColumn("order", block_order(F.col("source"), F.col("block"), mix))
+    same = (F.col("order") == F.col("p_cut_order")) & (F.col("block") == F.col("p_cut_block"))
+    before = (F.col("order") < F.col("p_cut_order")) | ((F.col("order") == F.col("p_cut_order")) & (F.col("block") < F.col("p_cut_block")))
+    extra = F.coalesce((before | (same & F.array_contains("p_cut_keys", F.col("key")))).cast("int"), F.lit(0))
+    return rows.withColumn("copies", F.col("p_passes") + extra)
 
 
 def assigned(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -209,28 +207,26 @@ def assigned(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     slim = _slim(docs, mix)
     told = plan(slim, mix)
-    at = [F.col("source").alias("b_source"), F.col("_order").alias("b_order"), F.col("_block").alias("b_block")]
+    at = [F.col(c).alias(f"b_{c}") for c in ("source", "order", "block")]
     ranked = mixed(slim, told, mix).select(*at).distinct()
     ranked = ranked.withColumn("b_rank", F.row_number().over(Window.partitionBy("b_source").orderBy("b_order", "b_block")) - 1)
-    met = mixed(docs, told, mix).where("_copies > 0").join(
-        ranked, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("_order") == F.col("b_order")) & (F.col("_block") == F.col("b_block"))
+    met = mixed(_keyed(docs, mix), told, mix).where("copies > 0").join(
+        ranked, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("order") == F.col("b_order")) & (F.col("block") == F.col("b_block"))
     )
-    copy = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    draw = F.col("copy") * F.col("_held") + F.col("b_rank")
-    order = _hash(F.lit(f"order{mix.seed}"), F.col("_key").cast("string"), F.col("copy").cast("string"))
-    return copy.select(*docs.columns, "copy", F.size(F.filter("_bounds", lambda b: b <= draw)).alias("mix_shard"), order.alias("mix_order"))
+    copy = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    draw = F.col("copy") * F.col("p_held") + F.col("b_rank")
+    order = _hash(F.lit(f"order{mix.seed}"), F.col("key").cast("string"), F.col("copy").cast("string"))
+    return copy.select("row.*", "copy", F.size(F.filter("p_bounds", lambda b: b <= draw)).alias("mix_shard"), order.alias("mix_order"))
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs; taken counts repeats."""
     slim = _slim(docs, mix)
-    return mixed(slim, plan(slim, mix), mix).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
-    )
+    counted = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return mixed(slim, plan(slim, mix), mix).select("doc_id", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), counted)
 
 
 def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """docs with each row as often as the mix reads it (rows that it does not read are gone), in docs' columns."""
-    rows = mixed(docs, plan(_slim(docs, mix), mix), mix).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = mixed(_keyed(docs, mix), plan(_slim(docs, mix), mix), mix).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -60,7 +60,7 @@ def _identifier(run: str) -> bool:
 
 def _random(run: str, vocabulary: str) -> bool:
     bare = run.strip("=")
-    if len(bare) < 20 or sum(c.isdigit() for c in bare) < 2 or sum(c.isalpha() for c in bare) < 4:
+    if len(bare) < 20 or not any(c.isdigit() for c in bare) or sum(c.isalpha() for c in bare) < 4:
         return False
     if _DIGEST.fullmatch(bare) and len(bare) in _DIGEST_LENGTHS or _identifier(bare):
         return False
