@@ -28,8 +28,8 @@ from tidewater.llm import words
 
 BUCKETS, DIM = 1 << 16, 16
 ORDERS = (1, 2, 3, 4)
-#: The training sample's bounds: documents per language, bytes of one document that are trained on, and languages.
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 600, 200_000, 200
+#: The training sample's bounds: documents per language, characters of a document that may be in it, and languages.
+SAMPLE, SAMPLE_CHARS, LANGUAGES = 600, 200_000, 200
 #: At most this share of the sample's right predictions is rejected.
 REJECTED_SHARE = 0.001
 
@@ -127,7 +127,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 8, r
     table, bias = np.zeros((BUCKETS, max(k, 1)), np.float32), np.zeros(max(k, 1))
     if k < 2:
         return Model(languages, table, bias, 1.0, 0.0)
-    cleaned = [normalise(t[: SAMPLE_BYTES]) for t in texts]
+    cleaned = [normalise(t) for t in texts]
     order = rng.permutation(len(texts))
     held = set(order[: len(order) // 5].tolist()) if len(order) >= 20 else set()
     target = [languages.index(y) for y in labels]
@@ -184,8 +184,9 @@ def _calibrate(model: Model, cleaned: list[bytes], target: list[int], held: list
     scores, truth = softmax(logits[:whole] / temperature), truth[:whole]
     right = scores.argmax(axis=1) == truth
     top = np.sort(scores.max(axis=1)[right])
-    # the floor is never above even odds: short clean texts score low
-    floor = min(float(top[int(REJECTED_SHARE * len(top))]) * 0.9, 0.5) if len(top) else 0.0
+    # never above the middle between chance and even odds: texts that mix two languages score near even odds
+    k = len(model.languages)
+    floor = min(float(top[int(REJECTED_SHARE * len(top))]) * 0.9, (1 / k + 0.5) / 2) if len(top) else 0.0
     return Model(model.languages, model.table, model.bias, temperature, floor)
 
 
@@ -196,9 +197,9 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
     """At most per_language labelled texts of each language from the rows that are not held out, as lists on the driver.
 
-    Rows are taken by a hash of doc_id, so every part of the table can give some. Only
-    ids are looked at to choose; then the chosen texts are read. Languages beyond
-    LANGUAGES raise an error.
+    Rows are taken by a hash of doc_id, so every part of the table can give some, with
+    their whole texts; texts of over SAMPLE_CHARS characters are not in the sample.
+    Languages beyond LANGUAGES raise an error.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
@@ -209,7 +210,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[s
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = {r["lang"]: min(1.0, 1.2 * per_language / r["count"]) for r in sizes}
     limit = F.element_at(F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))]), F.col("lang"))
-    chosen = known.where(draw < limit).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "doc_id").where("text is not null")
+    chosen = known.where((draw < limit) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", "doc_id")
     rows = chosen.limit(2 * per_language * len(sizes)).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     taken: dict[str, int] = {}
