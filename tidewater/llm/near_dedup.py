@@ -196,7 +196,7 @@ def _pairs_across(mixed: DataFrame, k: int, numerator: int, denominator: int) ->
     two linked sets share is among the first n - ceil(t * n) + 1 of each, and no more than
     1 + min(rest) of them can be shared in all. With the rare shingles first, sets that
     were edited in many places meet none of their group, and pairs are formed between
-    components only, after a look at what their members can reach at best.
+    components only.
     """
     spark = mixed.sparkSession
     n = mixed.count()
@@ -209,21 +209,31 @@ def _pairs_across(mixed: DataFrame, k: int, numerator: int, denominator: int) ->
         _prefixes(k, numerator, denominator, bits, lambda: shared.value), "token long, doc_id long, component long, size long, rest long"
     )
     tokens = materialise(tokens, "prefixes")
-    groups = tokens.groupBy("token", "component").agg(F.max("rest").alias("rest"), F.min("size").alias("size"))
-    split = groups.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    groups = materialise(groups.join(split, "token"), "groups")
-
-    def reaches(rest_a: str, rest_b: str, size_a: str, size_b: str) -> Column:
-        return (1 + F.least(rest_a, rest_b)) * (numerator + denominator) >= numerator * (F.col(size_a) + F.col(size_b))
-
-    a, b = (groups.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "rest", "size")]) for x in "ab")
-    met = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & reaches("rest_a", "rest_b", "size_a", "size_b"))
-    met = met.select("token", "component_a", "component_b", F.col("rest_b").alias("best_b"), F.col("size_b").alias("least_b"))
-    left = tokens.select("token", F.col("component").alias("component_a"), F.col("doc_id").alias("x"), F.col("rest").alias("rest_x"), F.col("size").alias("size_x"))
-    right = tokens.select("token", F.col("component").alias("component_b"), F.col("doc_id").alias("y"), F.col("rest").alias("rest_y"), F.col("size").alias("size_y"))
-    met = met.join(left, ["token", "component_a"]).where(reaches("rest_x", "best_b", "size_x", "least_b"))
-    met = met.join(right, ["token", "component_b"]).where(reaches("rest_x", "rest_y", "size_x", "size_y"))
-    return met.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct()
+    cell = ("component", "size", "rest")
+    cells = tokens.select("token", *cell).distinct()
+    split = cells.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    cells = materialise(cells.join(split, "token"), "cells")
+
+    # Members of a component with the same size and position of a token pass or fail together, so a group's many near copies are few cells.
+    a, b = (cells.select("token", *[F.col(c).alias(f"{c}_{x}") for c in cell]) for x in "ab")
+    reaches = (1 + F.least("rest_a", "rest_b")) * (numerator + denominator) >= numerator * (F.col("size_a") + F.col("size_b"))
+    met = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & reaches)
+    left, right = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in cell], F.col("doc_id").alias(x)) for x in "ab")
+    met = met.join(left, ["token", *[f"{c}_a" for c in cell]]).join(right, ["token", *[f"{c}_b" for c in cell]])
+    return met.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (u, v): only the components that these join are worked on again."""
+    if more.isEmpty():
+        return found
+    ends = more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct()
+    alone = ends.join(found, "id", "left_anti").withColumn("component", F.col("id"))
+    base = materialise(found.unionByName(alone), "components")
+    a, b = base.select(F.col("id").alias("u"), F.col("component").alias("cu")), base.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    met = more.join(a, "u").join(b, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = components(met).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return base.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -262,7 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     mixed = materialise(texts.join(mixed, "doc_id").select("doc_id", "component", "text"), "mixed")
     rest = _pairs_across(mixed, k, numerator, denominator).join(pairs, ["u", "v"], "left_anti")
     more = _verified(materialise(rest, "rest"), signed, texts, k, numerator, denominator, "rest")
-    found = components(links.unionByName(more))
+    found = _joined(found, more)
 
     top = classes.join(found, classes["class_id"] == found["id"], "left").select(
         "key_a", "key_b", "n_shingles", F.coalesce("component", "class_id").alias("component_id")
