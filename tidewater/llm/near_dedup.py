@@ -163,28 +163,22 @@ def _counts(k: int, bits: int):
 
 
 def _prefixes(k: int, numerator: int, denominator: int, bits: int, counts_of):
-    """(token, doc_id, component, size, rest): each set's rarest shingles, as many as a link needs to share one of; rest: how many come after it."""
+    """(doc_id, component, size, prefix): each set's rarest shingles in order, as many as a link needs to share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_of()
         for batch in batches:
-            found, lengths, sizes, rests = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+            prefixes, sizes = [], []
             for own in _unique_sets(batch.column("text"), k):
                 n = len(own)
                 p = n - -(-numerator * n // denominator) + 1
                 order = np.lexsort((own, counts[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:p]
-                found.append(own[order])
-                rests.append(n - 1 - np.arange(len(order)))
-                lengths.append(len(order))
+                prefixes.append(own[order].view(np.int64))
                 sizes.append(n)
-            row = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(row), batch.column("component").take(row),
-                    pa.array(np.array(sizes, np.int64)).take(row), pa.array(np.concatenate(rests)),
-                ],
-                names=["token", "doc_id", "component", "size", "rest"],
-            )
+                [batch.column("doc_id"), batch.column("component"), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "component", "size", "prefix"],
+            )
 
     return run
 
@@ -194,9 +188,10 @@ def _pairs_across(mixed: DataFrame, k: int, numerator: int, denominator: int) ->
 
     An exact filter, not a sampled one: in any order of all shingles, the first shingle that
     two linked sets share is among the first n - ceil(t * n) + 1 of each, and no more than
-    1 + min(rest) of them can be shared in all. With the rare shingles first, sets that
-    were edited in many places meet none of their group, and pairs are formed between
-    components only.
+    1 + min(what comes after it) can be shared in all. With the rare shingles first, sets
+    that were edited in many places meet none of their group. Two components are compared
+    if some shingle's best positions in both allow a link, whatever the number of such
+    shingles; then their members are, each pair once, the smaller component's first.
     """
     spark = mixed.sparkSession
     n = mixed.count()
@@ -205,22 +200,32 @@ def _pairs_across(mixed: DataFrame, k: int, numerator: int, denominator: int) ->
     for r in mixed.select("text").mapInArrow(_counts(k, bits), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["cell"]] = r["n"]  # at most 2**20 rows
     shared = spark.sparkContext.broadcast(counts)
-    tokens = mixed.select("doc_id", "component", "text").mapInArrow(
-        _prefixes(k, numerator, denominator, bits, lambda: shared.value), "token long, doc_id long, component long, size long, rest long"
+    members = mixed.select("doc_id", "component", "text").mapInArrow(
+        _prefixes(k, numerator, denominator, bits, lambda: shared.value), "doc_id long, component long, size long, prefix array<long>"
     )
-    tokens = materialise(tokens, "prefixes")
-    cell = ("component", "size", "rest")
-    cells = tokens.select("token", *cell).distinct()
-    split = cells.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    cells = materialise(cells.join(split, "token"), "cells")
-
-    # Members of a component with the same size and position of a token pass or fail together, so a group's many near copies are few cells.
-    a, b = (cells.select("token", *[F.col(c).alias(f"{c}_{x}") for c in cell]) for x in "ab")
-    reaches = (1 + F.least("rest_a", "rest_b")) * (numerator + denominator) >= numerator * (F.col("size_a") + F.col("size_b"))
-    met = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & reaches)
-    left, right = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in cell], F.col("doc_id").alias(x)) for x in "ab")
-    met = met.join(left, ["token", *[f"{c}_a" for c in cell]]).join(right, ["token", *[f"{c}_b" for c in cell]])
-    return met.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
+    members = materialise(members, "prefixes")
+
+    def reaches(rest_a: Column, rest_b: Column, size_a: Column, size_b: Column) -> Column:
+        return (1 + F.least(rest_a, rest_b)) * (numerator + denominator) >= numerator * (size_a + size_b)
+
+    tokens = members.select("component", "size", F.posexplode("prefix").alias("pos", "token"))
+    groups = tokens.groupBy("token", "component").agg(F.max(F.col("size") - 1 - F.col("pos")).alias("rest"), F.min("size").alias("size"))
+    split = groups.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    groups = materialise(groups.join(split, "token"), "groups")
+    a, b = (groups.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "rest", "size")]) for x in "ab")
+    near = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & reaches(*[F.col(c) for c in ("rest_a", "rest_b", "size_a", "size_b")]))
+    near = near.select("component_a", "component_b").distinct()
+
+    held = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda x: held.select(F.col("component").alias(f"component_{x}"), F.col("n").alias(f"n_{x}"))
+    near = near.join(of("a"), "component_a").join(of("b"), "component_b")
+    first = F.col("n_a") <= F.col("n_b")
+    near = near.select(F.when(first, F.col("component_a")).otherwise(F.col("component_b")).alias("cx"), F.when(first, F.col("component_b")).otherwise(F.col("component_a")).alias("cy"))
+    x, y = (members.select(F.col("component").alias(f"c{s}"), F.col("doc_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "xy")
+    common = F.try_element_at(F.array_intersect("prefix_x", "prefix_y"), F.lit(1))  # both are in the same order, so it is the first for either
+    rest = lambda s: F.col(f"size_{s}") - F.array_position(f"prefix_{s}", common)
+    met = near.join(x, "cx").join(y, "cy").where(common.isNotNull() & reaches(rest("x"), rest("y"), F.col("size_x"), F.col("size_y")))
+    return met.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct()
 
 
 def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
