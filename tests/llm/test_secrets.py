@@ -37,6 +37,17 @@ def test_random_strings_are_found_and_names_are_not():
         assert S.secret_spans(name) == []
 
 
+def test_random_strings_joined_to_words_are_found():
+    random.seed(7)
+    for before, after in (("/download/files/archive/", ""), ("customer-account-signature=", ""), ("client-credential=", "/download/archive"), ("0123456789abcdef" * 2 + "/", "")):
+        for n, least in ((20, 90), (24, 90), (32, 95)):
+            keys = ["".join(random.choices(string.ascii_letters + string.digits, k=n)) for _ in range(100)]
+            spans = [S.secret_spans(f"see {before}{key}{after} here") for key in keys]
+            assert sum(any(kind == 3 and s <= 4 + len(before) and e >= 4 + len(before) + n for s, kind, e in found) for found in spans) >= least
+    for name in ("/download/files/archive/customer/accounts/signature/123e4567-e89b-12d3-a456-426614174000/view", "/download/files/archive/customer/accounts/signature/D41D8CD98F00B204E9800998ECF8427E/view", "/download/files/archive/customer/accounts/2024-01-01/v1/a/b/c-d/index"):
+        assert S.secret_spans(name) == []
+
+
 def test_digest_and_redaction(spark, odd_docs):
     text = "é token = 'abcdef1' and " + "a" * 30
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")

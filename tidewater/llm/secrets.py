@@ -5,7 +5,9 @@ runs. The token-efficiency test looks at runs of 20 or more key characters that
 both letters and digits: ordinary words and names take few tokens of a tiktoken
 vocabulary, random strings many. A run of under RATIO characters a token is reported,
 unless it is a known digest (hexadecimal of a digest's length), an identifier (UUID,
-or words and numbers joined by separators or capitals), or touches a base span.
+or words and numbers joined by separators or capitals), or touches a base span. Where
+the whole run is not reported, its parts are tested in the same way: a key in a path or
+after a name is the neighbour of ordinary words, which would hide it in the average.
 """
 
 from __future__ import annotations
@@ -32,10 +34,16 @@ _NAMES = ("passw", "secret", "token", "api")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 1.9
+#: Pieces of a run, between its separators. A key can hold separators itself, so neighbouring pieces are tested together up
+#: to JOINED characters, where separators are at most a SPARSE-th of them and the first and last piece are no words or numbers.
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+JOINED = 96
+SPARSE = 8
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_UUID_INSIDE = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])")
 _PIECES = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]+|[_/+=-]+")
 
 
@@ -67,6 +75,33 @@ def _random(run: str, vocabulary: str) -> bool:
     return len(bare) < RATIO * len(encoding(vocabulary).encode_ordinary(bare))
 
 
+def _random_parts(text: str, start: int, end: int, apart: list[tuple[int, int]], vocabulary: str) -> list[tuple[int, int]]:
+    """The parts of the run text[start:end] that are random by themselves; none touches a span of apart, a UUID or a digest."""
+    apart = apart + [m.span() for m in _UUID_INSIDE.finditer(text, start, end)]
+    pieces = []  # start, end, may begin or end a part; None: no part goes across
+    for m in _PIECE.finditer(text, start, end):
+        if any(s < m.end() and m.start() < e for s, e in apart) or _DIGEST.fullmatch(m[0]) and len(m[0]) in _DIGEST_LENGTHS:
+            pieces.append(None)
+        else:
+            pieces.append((m.start(), m.end(), not m[0].isdigit() and not _identifier(m[0])))
+    found: list[tuple[int, int]] = []
+    for i, first in enumerate(pieces):
+        if first is None or not first[2]:
+            continue
+        held = 0
+        for last in pieces[i:]:
+            if last is None or last is not first and last[1] - first[0] > JOINED:
+                break
+            held += last[1] - last[0]
+            size = last[1] - first[0]
+            if last[2] and size >= 20 and SPARSE * (size - held) <= size and _random(text[first[0] : last[1]], vocabulary):
+                if found and first[0] < found[-1][1]:
+                    found[-1] = (found[-1][0], max(found[-1][1], last[1]))
+                else:
+                    found.append((first[0], last[1]))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of the base kinds, in order."""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -83,8 +118,11 @@ def secret_spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int
     base = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and _random(m[0], vocabulary):
+        touched = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        if not touched and _random(m[0], vocabulary):
             more.append((m.start(), 3, m.end()))
+        else:
+            more += [(s, 3, e) for s, e in _random_parts(text, *m.span(), touched, vocabulary)]
     return sorted(base + more)
 
 
