@@ -29,8 +29,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that the sources' words meet their targets."""
-    return mixing.repeated(docs)
+    """Repeat or drop documents so that the sources' words meet their targets; the rows lie shuffled in the mix's shards (mix_shard, mix_order)."""
+    return mixing.in_shards(mixing.assigned(docs))
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewater.llm import mixing as M
 from tidewater.llm import sharding as S
+from tidewater.llm import storage
 from tidewater.llm import url_rules as U
 
 
@@ -79,6 +81,24 @@ def test_shards_of_a_mix(spark):
     assert {k: sum(v) for k, v in quotas.items()} == {"a": 10, "b": 0, "c": 91} and all(abs(sum(q[i] for q in quotas.values()) - 25) <= 1 for i in range(4))
 
 
+def test_taken_and_the_pipeline_read_the_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(6000)], "doc_id long, text string, source string")
+    stage = corpus_pipeline.mix_sources(spark, docs, "")
+    got = storage.materialise(stage, "stage").collect()
+    order = [(r["mix_shard"], r["mix_order"]) for r in got]
+    assert order == sorted(order) and {s for s, _ in order} == set(range(M.SHARDS))
+    assert {(r["doc_id"], r["copy"], *at) for r, at in zip(got, order)} == {(r["doc_id"], r["copy"], r["mix_shard"], r["mix_order"]) for r in M.assigned(docs).collect()}
+    assert sum(a["doc_id"] == b["doc_id"] for a, b in zip(got, got[1:])) < 20  # copies of a row are not side by side
+    kept = []
+    monkeypatch.setattr(M, "materialise", lambda df, name: kept.append((name, storage.materialise(df, name))) or kept[-1][1])
+    taken = {r["doc_id"]: r["taken"] for r in M.taken(docs).collect()}
+    words = Counter()
+    for r in dict(kept)["mixed"].collect():
+        words[r["doc_id"]] += len(r["row"]["text"].split())
+    assert taken == {i: words[i] for i in range(6000)}
+    assert dict(kept)["mixed"].select("mix_shard").distinct().count() == M.SHARDS
+
+
 def test_mix_of_odd_rows(spark, odd_docs):
     got = M.taken(odd_docs).collect()
     assert len(got) == odd_docs.count()

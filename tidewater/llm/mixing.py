@@ -17,6 +17,8 @@ Only the list of sources with its sums is on the driver: one row for each source
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -200,30 +202,51 @@ def mixed(keyed: DataFrame, told: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.withColumn("copies", F.col("p_passes") + extra)
 
 
-def assigned(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: docs' columns, and for every copy that is read its copy (from 0), mix_shard and mix_order.
-
-    mix_order sorts a shard's rows at random (a keyed hash), so a shard is shuffled where it is read.
-    """
-    slim = _slim(docs, mix)
-    told = plan(slim, mix)
+def _dealt(keyed: DataFrame, slim: DataFrame, told: DataFrame, mix: Mix) -> DataFrame:
+    """Keyed rows once for each copy that is read, with copy (from 0), mix_shard and mix_order."""
     at = [F.col(c).alias(f"b_{c}") for c in ("source", "order", "block")]
     ranked = mixed(slim, told, mix).select(*at).distinct()
     ranked = ranked.withColumn("b_rank", F.row_number().over(Window.partitionBy("b_source").orderBy("b_order", "b_block")) - 1)
-    met = mixed(_keyed(docs, mix), told, mix).where("copies > 0").join(
+    met = mixed(keyed, told, mix).where("copies > 0").join(
         ranked, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("order") == F.col("b_order")) & (F.col("block") == F.col("b_block"))
     )
     copy = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     draw = F.col("copy") * F.col("p_held") + F.col("b_rank")
     order = _hash(F.lit(f"order{mix.seed}"), F.col("key").cast("string"), F.col("copy").cast("string"))
-    return copy.select("row.*", "copy", F.size(F.filter("p_bounds", lambda b: b <= draw)).alias("mix_shard"), order.alias("mix_order"))
+    return copy.select(*keyed.columns, "copy", F.size(F.filter("p_bounds", lambda b: b <= draw)).alias("mix_shard"), order.alias("mix_order"))
+
+
+def assigned(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself: docs' columns, and for every copy that is read its copy (from 0), mix_shard and mix_order.
+
+    mix_order sorts a shard's rows at random (a keyed hash), so a shard is shuffled where it is read.
+    """
+    slim = _slim(docs, mix)
+    return _dealt(_keyed(docs, mix), slim, plan(slim, mix), mix).select("row.*", "copy", "mix_shard", "mix_order")
+
+
+def in_shards(rows: DataFrame) -> DataFrame:
+    """Assigned rows with each shard's rows together, shuffled by mix_order; ranges of both, so that a shard may be many tasks."""
+    return rows.orderBy("mix_shard", "mix_order")
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs; taken counts repeats."""
+    """(doc_id, size, source_size, target, taken) for every row of docs; taken counts repeats.
+
+    The mix is written shard by shard to the shared folder, and taken is the words of a
+    row's copies that are in it; rows that the mix does not read have 0.
+    """
     slim = _slim(docs, mix)
-    counted = (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    return mixed(slim, plan(slim, mix), mix).select("doc_id", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), counted)
+    told = plan(slim, mix)
+    written = materialise(in_shards(_dealt(_keyed(docs, mix), slim, told, mix)), "mixed")
+    # Repeated rows are read alike: each has its part of what they have together.
+    at = ("doc_id", "source", "size", "key")
+    read = written.groupBy(*[F.col(c).alias(f"t_{c}") for c in at]).agg(F.sum("size").alias("words"), F.count_if(F.col("copy") == 0).alias("n"))
+    met = slim.join(read, reduce(and_, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in at]), "left")
+    met = met.join(_small(told.select(*[F.col(c).alias(f"p_{c}") for c in ("source", "source_size", "target")])), F.col("source").eqNullSafe(F.col("p_source")))
+    return met.select(
+        "doc_id", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), F.coalesce(F.expr("words div n"), F.lit(0)).cast("long").alias("taken")
+    )
 
 
 def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
