@@ -30,6 +30,27 @@ def test_votes_choose_for_pages_that_alone_would_choose_otherwise(spark):
     assert X.main_texts(pages.limit(0)).count() == 0
 
 
+def test_blocks_around_the_winning_container_stay(spark):
+    long = "word " * 200
+    make = {
+        "title.org": lambda i: f"<article><h1>Title {i}</h1><p>lead {i}</p><div class=content><p>{long}</p></div></article><div class=tagline>our site</div>",
+        "parts.org": lambda i: f"<article><section class=a><p>{long}</p></section><section class=b><p>second {i}</p></section></article>",
+        "deep.org": lambda i: f"<div class=page><h1>Title {i}</h1><div class=in><p>lead {i}</p><div class=content><p>{long}</p></div></div></div><div class=rail>more <a href=x>{'link ' * 9}</a></div>",
+        "same.org": lambda i: f"<div class=page><p>Welcome to our site</p><div class=content><p>{long}{i}</p></div></div>",
+        "links.org": lambda i: f"<article><p><a href=x>links {i}</a></p><div class=content><p>{long}</p></div></article>",
+    }
+    rows = [(i, f"https://{h}/{i}", f"<body>{f(i)}</body>") for h, f in make.items() for i in range(5)]
+    rows += [(9, "https://title.org/9", "<article><h1>Short</h1></article>"), (8, "https://title.org/8", f"<main><div class=content><p>{long}</p></div></main>")]
+    got = {(r["url"].split("/")[2], r["page_id"]): r["text"] for r in X.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got["title.org", i] == f"Title {i}\nlead {i}\n{long.strip()}"
+        assert got["parts.org", i] == f"{long.strip()}\nsecond {i}"
+        assert got["deep.org", i] == f"Title {i}\nlead {i}\n{long.strip()}"
+        assert got["same.org", i] == f"{long}{i}" and got["links.org", i] == long.strip()
+    assert got["title.org", 9] == "Short" and got["title.org", 8] == long.strip()
+    assert X.Page(f"<body>{make['title.org'](1)}</body>").text(None) == f"Title 1\nlead 1\n{long.strip()}"
+
+
 def test_host(spark):
     rows = spark.createDataFrame([("http://A.b/C",), ("no",), (None,), ("x://Q?y://z",)], "u string")
     assert [r["h"] for r in rows.select(X.host(F.col("u")).alias("h")).collect()] == ["a.b", "", "", "q"]

@@ -5,12 +5,18 @@ paragraphs, less link text, and vote for their generalised tag-class path (digit
 masked). Spark adds up the votes by host; the path with the most votes wins, and every
 page of the host is extracted again from the elements on that path. A page without
 such an element, and a page of a host without votes, falls back on its own best container.
+
+A title, a lead or a sister section stands outside a long inner container. So the host
+climbs from the winning path, level by level, while on most of its pages the further
+blocks of the next container are mostly text without links, and this container is named
+as an article or the blocks differ from page to page. It ends below body.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -187,14 +193,65 @@ class Page:
             inside[i] = i in roots or parent >= 0 and inside[parent]
         return "\n".join(text for container, text, _ in self.blocks if inside[container])
 
-    def text(self, path: str | None) -> str:
-        """The blocks inside the elements on path, in page order; of the page's best container if there are none."""
+    def levels(self, path: str) -> list[tuple[int, str, bool, bool, int]]:
+        """What the containers around the elements on path add to them, from inside out and below body.
+
+        (levels up, the container's path, whether what it adds is mostly text without links,
+        whether it is named as an article, CRC-32 of what it adds); levels that add no block are left out.
+        """
+        up = [-1] * len(self.containers)
+        for i, c in enumerate(self.containers):
+            level = 0
+            while i >= 0 and c[1] == path and not 0 <= up[i] <= level:
+                up[i] = level
+                i, level = self.containers[i][0], level + 1
+        chain = {level: i for i, level in enumerate(up) if level > 0}
+        for i, (parent, *_) in enumerate(self.containers):
+            if up[i] < 0 and parent >= 0:
+                up[i] = up[parent]
+        more: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        for container, text, linked in self.blocks:
+            if up[container] > 0:
+                more[up[container]].append((text, len(text) - 2 * linked))
+        out = []
+        for level in sorted(more):
+            _, outer, tag, tokens = self.containers[chain[level]]
+            if tag == "body":
+                break
+            named = tag in ("article", "main") or bool(tokens & _LIKELY)
+            out.append((level, outer, sum(w for _, w in more[level]) > 0, named, zlib.crc32("\n".join(t for t, _ in more[level]).encode("utf-8", "surrogatepass"))))
+        return out
+
+    def _around(self, roots: set[int], path: str) -> set[int]:
+        """The containers on path that hold one of roots."""
+        out = set()
+        for i in roots:
+            while i >= 0 and self.containers[i][1] != path:
+                i = self.containers[i][0]
+            out |= {i} if i >= 0 else set()
+        return out
+
+    def text(self, path: str | None, inner: str | None = None) -> str:
+        """The blocks inside the elements on path that hold one on inner, in page order.
+
+        If there are none, those inside the elements on path, then on inner, then in the page's best container.
+        """
         if path is not None:
-            found = self._under({i for i, c in enumerate(self.containers) if c[1] == path})
-            if found:
-                return found
+            outside, inside = ({i for i, c in enumerate(self.containers) if c[1] == p} for p in (path, inner))
+            for roots in (self._around(inside, path), outside, inside):
+                found = self._under(roots) if roots else ""
+                if found:
+                    return found
         scores = self.scores()
-        return self._under({max(scores, key=lambda i: (scores[i], -i))}) if scores else ""
+        if not scores:
+            return ""
+        best = max(scores, key=lambda i: (scores[i], -i))
+        roots = {best}
+        for _, outer, plain, named, _ in self.levels(self.containers[best][1]):
+            if not (plain and named):
+                break
+            roots = self._around({best}, outer)
+        return self._under(roots)
 
 
 def host(url: Column) -> Column:
@@ -203,26 +260,46 @@ def host(url: Column) -> Column:
     return F.coalesce(lowered, F.lit(""))
 
 
+_BALLOT = "host string, path string, up int, outer string, share double, plain int, named int, crc long"
+
+
 def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vote (up 0), and for each level around its path."""
+    kinds = [("host", pa.string()), ("path", pa.string()), ("up", pa.int32()), ("outer", pa.string()), ("share", pa.float64()), ("plain", pa.int32()), ("named", pa.int32()), ("crc", pa.int64())]
     for batch in batches:
-        hosts, paths, shares = [], [], []
+        rows = []
         for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for path, share in Page(source or "").votes():
-                hosts.append(name), paths.append(path), shares.append(share)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
+            page = Page(source or "")
+            for path, share in page.votes():
+                rows.append((name, path, 0, None, share, 0, 0, 0))
+                rows += [(name, path, up, outer, 0.0, int(plain), int(named), crc) for up, outer, plain, named, crc in page.levels(path)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): each host's winning container path. Ties go to the path that is first in order."""
+    """(host, path, votes, inner): each host's winning container path, inner, and the path that it climbs to. Ties go to the path that is first in order."""
     rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = rows.mapInArrow(_ballots, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"), (-F.col("b.v")).alias("votes"))
+    found = rows.mapInArrow(_ballots, _BALLOT).groupBy("host", "path", "up", "outer").agg(
+        F.round(F.sum("share"), 6).alias("votes"), F.count(F.lit(1)).alias("n"), F.sum("plain").alias("plain"), F.sum("named").alias("named"), F.approx_count_distinct("crc").alias("texts")
+    )
+    level = F.when(F.col("up") > 0, F.struct("up", "outer", "n", "plain", "named", "texts"))
+    own = lambda c: F.max(F.when(F.col("up") == 0, F.col(c)))
+    votes = found.groupBy("host", "path").agg(own("votes").alias("votes"), own("n").alias("n"), F.array_sort(F.collect_list(level)).alias("levels"))
+    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path", "n", "levels")).alias("b"))
+
+    def climb(at: Column, one: Column) -> Column:
+        differ = (one["texts"] >= 2) & (2 * one["texts"] > one["n"])
+        on = at["on"] & (2 * one["plain"] > F.col("b.n")) & ((2 * one["named"] > one["n"]) | differ)
+        return F.struct(on.alias("on"), F.when(on, one["outer"]).otherwise(at["path"]).alias("path"))
+
+    start = F.struct(F.lit(True).alias("on"), F.col("b.path").alias("path"))
+    return best.select("host", F.aggregate("b.levels", start, climb)["path"].alias("path"), (-F.col("b.v")).alias("votes"), F.col("b.path").alias("inner"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source or "").text(path) for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [Page(source or "").text(path, inner) for source, path, inner in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
         out = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "text", "n_chars"])
 
@@ -234,5 +311,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     leaves its pages to Spark's skew handling, or moves no page at all where the winners are small.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    placed = rows.withColumn("host", host(F.col("url"))).join(host_paths(pages).select("host", "path"), "host", "left")
-    return placed.select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    placed = rows.withColumn("host", host(F.col("url"))).join(host_paths(pages).select("host", "path", "inner"), "host", "left")
+    return placed.select("page_id", "url", "html", "path", "inner").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
