@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from tidewater.llm import html_text as X
@@ -54,3 +58,74 @@ def test_blocks_around_the_winning_container_stay(spark):
 def test_host(spark):
     rows = spark.createDataFrame([("http://A.b/C",), ("no",), (None,), ("x://Q?y://z",)], "u string")
     assert [r["h"] for r in rows.select(X.host(F.col("u")).alias("h")).collect()] == ["a.b", "", "", "q"]
+
+
+def test_unclosed_stray_and_nested_tags_take_linear_time():
+    def seconds(source):
+        began = time.perf_counter()
+        page = X.Page(source)
+        page.votes(), page.steps(), page.text(None)
+        return time.perf_counter() - began
+
+    make = {
+        "unclosed": lambda n: "<b>" * n + "x" + "</i>" * n, "inline": lambda n: "<b>" * n + "<p>y</p>" * n, "nested": lambda n: "<div>z" * n, "tables": lambda n: "<table><tr><td>t" * n,
+        "classes": lambda n: "".join(f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>w</div>" for i in range(n)),
+    }
+    for name, source in make.items():
+        seconds(source(1000))
+        assert seconds(source(32_000)) < 60 * max(seconds(source(2_000)), 0.01), name
+    assert X.Page("<div>" * 20_000 + "deep").text(None) == "deep"
+
+
+class Plain(HTMLParser):
+    """A second reader of well-formed pages: blocks with the classes and tags of the elements around them."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.parts, self.found = [], [], []
+        self.feed(source)
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.found.append((text, [t for t, _ in self.stack], [c for _, c in self.stack]))
+        self.parts = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag not in ("b", "a"):
+            self.flush()
+        self.stack.append((tag, dict(attributes).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.flush()
+        while self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def test_articles_by_a_second_parser(spark):
+    """Well-formed pages of several templates: the text is what a plain parser finds inside the article and outside chrome."""
+    random.seed(4)
+    words = lambda n: " ".join(random.choice(["alpha", "beta &amp; gamma", "caf&eacute;", "d&#233;j&#xe0;", "omega"]) for _ in range(n))
+    rows = []
+    for i in range(60):
+        body = "".join(f"<p>{words(random.randint(20, 60))} <b>{words(2)}</b></p>" for _ in range(random.randint(2, 6)))
+        main = f"<h1>{words(4)}</h1>{body}<ul><li>{words(5)}</li><li>{words(5)}</li></ul>"
+        wrap = (f"<article>{main}</article>", f"<div class='post-{i} entry'>{main}</div>", f"<main><section class='story'>{main}</section></main>")[i % 3]
+        source = f"<html><head><style>p{{}}</style></head><body><nav><a href='/'>{words(3)}</a></nav><header><p>{words(9)}</p></header>{wrap}<div class='comments'><p>{words(80)}</p></div><aside><p>{words(50)}</p></aside><footer><p>{words(9)}</p></footer></body></html>"
+        rows.append((i, f"https://h{i % 3}.org/{i}", source))
+    got = {r["page_id"]: r["text"] for r in X.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, source in rows:
+        blocks = [text for text, tags, classes in Plain(source).found if "body" in tags and not {"nav", "header", "aside", "footer"} & set(tags) and "comments" not in classes]
+        assert got[i] == "\n".join(blocks)
+
+
+def test_hot_and_common_hosts_are_read_alike(spark, monkeypatch):
+    rows = [(i, f"https://{'hot' if i % 2 else f'h{i % 8}'}.org/{i}", page(f"<div class=story><p>{'word ' * 30}{i}</p></div>")) for i in range(40)] + [(99, None, "<p>none</p>"), (98, "no host", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = X.main_texts(pages).collect()
+    monkeypatch.setattr(X, "HOT", 3)
+    assert sorted(X.main_texts(pages).collect(), key=lambda r: r["page_id"]) == sorted(want, key=lambda r: r["page_id"]) and len(want) == 42

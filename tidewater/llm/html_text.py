@@ -10,20 +10,30 @@ A title, a lead or a sister section stands outside a long inner container. So th
 climbs from the winning path, level by level, while on most of its pages the further
 blocks of the next container are mostly text without links, and this container is named
 as an article or the blocks differ from page to page. It ends below body.
+
+A path is written as a hash of its labels and its last label, so it takes a few bytes
+however deep it is. A page is read in one pass, in time and memory in proportion to its
+length: unclosed and stray tags and deep nesting cost no more than others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.storage import materialise
+
+#: A host with more than this part of all pages is hot; so there are never more hot hosts than its inverse.
+HOT = 1000
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -90,6 +100,8 @@ class Page:
         self._linked = 0
         # tag, container's index, chrome (or inside it), inside a link
         self._open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self._opened: Counter[str] = Counter()  # how many elements of a name are open
+        self._open_blocks: list[int] = []  # places of open blocks in _open
         at = 0
         for m in _MARKUP.finditer(source):
             if m.start() > at:
@@ -138,32 +150,41 @@ class Page:
         if tag in _CONTAINER:
             label = _label(tag, attributes)
             tokens = frozenset(t.lower() for t in _TOKEN.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
-            self.containers.append((container, f"{self.containers[container][1]}>{label}", tag, tokens))
+            self.containers.append((container, _path(self.containers[container][1], label), tag, tokens))
             container = len(self.containers) - 1
+        if tag in _BLOCK:
+            self._open_blocks.append(len(self._open))
+        self._opened[tag] += 1
         self._open.append((tag, container, chrome, link or tag == "a"))
 
+    def _close(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        for tag, *_ in self._open[i:]:
+            self._opened[tag] -= 1
+        del self._open[i:]
+        while self._open_blocks and self._open_blocks[-1] >= i:
+            self._open_blocks.pop()
+
     def _imply(self, tag: str) -> None:
         """Close what a start tag of a block ends: paragraphs and headings, and siblings of a list or table."""
         ends = _SIBLINGS.get(tag, ())
-        for i in range(len(self._open) - 1, 0, -1):
+        while self._open_blocks:
+            i = self._open_blocks[-1]
             name = self._open[i][0]
-            if name in ends or name in _CLOSED_BY_BLOCK:
-                del self._open[i:]
-                if name in _CLOSED_BY_BLOCK and ends:
-                    continue
+            if name not in ends and name not in _CLOSED_BY_BLOCK:
                 return
-            if name in _BLOCK:
+            self._close(i)
+            if name not in _CLOSED_BY_BLOCK or not ends:
                 return
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] == tag:
-                if tag in _BLOCK:
-                    self._flush()
-                del self._open[i:]
-                return
         if tag in _BLOCK:
             self._flush()
+        if self._opened[tag]:
+            i = len(self._open) - 1
+            while self._open[i][0] != tag:
+                i -= 1
+            self._close(i)
 
     def scores(self) -> dict[int, float]:
         """Container scores: own blocks in full, those of child containers by half."""
@@ -179,13 +200,13 @@ class Page:
             out[i] *= (1.5 if tag in ("article", "main") else 1.0) * (1.25 if tokens & _LIKELY else 1.0)
         return {i: s for i, s in out.items() if s > 0}
 
-    def votes(self, most: int = 3) -> list[tuple[str, float]]:
-        """The best containers' paths and their shares of the page's score."""
+    def votes(self) -> list[tuple[str, float]]:
+        """The paths of all containers with a score, and their shares of the page's score."""
         by_path: dict[str, float] = defaultdict(float)
         for i, s in self.scores().items():
             by_path[self.containers[i][1]] += s
         total = sum(by_path.values())
-        return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:most]]
+        return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))]
 
     def _under(self, roots: set[int]) -> str:
         inside = [False] * len(self.containers)
@@ -193,43 +214,48 @@ class Page:
             inside[i] = i in roots or parent >= 0 and inside[parent]
         return "\n".join(text for container, text, _ in self.blocks if inside[container])
 
-    def levels(self, path: str) -> list[tuple[int, str, bool, bool, int]]:
-        """What the containers around the elements on path add to them, from inside out and below body.
+    def steps(self) -> dict[str, tuple[str, int, int, int]]:
+        """For each path with text the next one around it, below body, that adds a block, and what that adds.
 
-        (levels up, the container's path, whether what it adds is mostly text without links,
-        whether it is named as an article, CRC-32 of what it adds); levels that add no block are left out.
+        (outer path, whether what it adds is mostly text without links, whether it is named
+        as an article, a checksum of what it adds).
         """
-        up = [-1] * len(self.containers)
-        for i, c in enumerate(self.containers):
-            level = 0
-            while i >= 0 and c[1] == path and not 0 <= up[i] <= level:
-                up[i] = level
-                i, level = self.containers[i][0], level + 1
-        chain = {level: i for i, level in enumerate(up) if level > 0}
-        for i, (parent, *_) in enumerate(self.containers):
-            if up[i] < 0 and parent >= 0:
-                up[i] = up[parent]
-        more: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        below = [[0, 0, 0] for _ in self.containers]  # blocks, text less links, checksum: of a container and all inside it
         for container, text, linked in self.blocks:
-            if up[container] > 0:
-                more[up[container]].append((text, len(text) - 2 * linked))
-        out = []
-        for level in sorted(more):
-            _, outer, tag, tokens = self.containers[chain[level]]
-            if tag == "body":
-                break
+            here = below[container]
+            here[0] += 1
+            here[1] += len(text) - 2 * linked
+            here[2] += zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        for i in range(len(below) - 1, 0, -1):
+            up = below[self.containers[i][0]]
+            for j in range(3):
+                up[j] += below[i][j]
+        inner: dict[str, list[int]] = {}
+        around: dict[str, set[int]] = defaultdict(set)
+        for i in range(1, len(below)):
+            parent, path, *_ = self.containers[i]
+            if below[i][0] and self.containers[parent][2] != "body":
+                held = inner.setdefault(path, [0, 0, 0])
+                for j in range(3):
+                    held[j] += below[i][j]
+                around[path].add(parent)
+        out = {}
+        for path, held in inner.items():  # outer paths come first
+            n, worth, check = (sum(below[q][j] for q in around[path]) - held[j] for j in range(3))
+            _, outer, tag, tokens = self.containers[next(iter(around[path]))]
             named = tag in ("article", "main") or bool(tokens & _LIKELY)
-            out.append((level, outer, sum(w for _, w in more[level]) > 0, named, zlib.crc32("\n".join(t for t, _ in more[level]).encode("utf-8", "surrogatepass"))))
+            if n:
+                out[path] = (outer, int(worth > 0), int(named), check & 0xFFFFFFFF)
+            elif outer in out:
+                out[path] = out[outer]
         return out
 
     def _around(self, roots: set[int], path: str) -> set[int]:
         """The containers on path that hold one of roots."""
-        out = set()
-        for i in roots:
-            while i >= 0 and self.containers[i][1] != path:
-                i = self.containers[i][0]
-            out |= {i} if i >= 0 else set()
-        return out
+        holds = [i in roots for i in range(len(self.containers))]
+        for i in range(len(holds) - 1, 0, -1):
+            holds[self.containers[i][0]] |= holds[i]
+        return {i for i, c in enumerate(self.containers) if holds[i] and c[1] == path}
 
     def text(self, path: str | None, inner: str | None = None) -> str:
         """The blocks inside the elements on path that hold one on inner, in page order.
@@ -246,12 +272,14 @@ class Page:
         if not scores:
             return ""
         best = max(scores, key=lambda i: (scores[i], -i))
-        roots = {best}
-        for _, outer, plain, named, _ in self.levels(self.containers[best][1]):
-            if not (plain and named):
-                break
-            roots = self._around({best}, outer)
-        return self._under(roots)
+        steps, at = self.steps(), self.containers[best][1]
+        while at in steps and steps[at][1] and steps[at][2]:
+            at = steps[at][0]
+        return self._under(self._around({best}, at))
+
+
+def _path(outer: str, label: str) -> str:
+    return f"{hashlib.blake2b(f'{outer}>{label}'.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}>{label}"
 
 
 def host(url: Column) -> Column:
@@ -260,41 +288,48 @@ def host(url: Column) -> Column:
     return F.coalesce(lowered, F.lit(""))
 
 
-_BALLOT = "host string, path string, up int, outer string, share double, plain int, named int, crc long"
+_BALLOT = "host string, path string, share double, outer string, plain int, named int, crc long"
 
 
 def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each vote (up 0), and for each level around its path."""
-    kinds = [("host", pa.string()), ("path", pa.string()), ("up", pa.int32()), ("outer", pa.string()), ("share", pa.float64()), ("plain", pa.int32()), ("named", pa.int32()), ("crc", pa.int64())]
+    """A row for each path of a page that has a vote (share) or a path around it (outer)."""
+    kinds = [("host", pa.string()), ("path", pa.string()), ("share", pa.float64()), ("outer", pa.string()), ("plain", pa.int32()), ("named", pa.int32()), ("crc", pa.int64())]
     for batch in batches:
         rows = []
         for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source or "")
-            for path, share in page.votes():
-                rows.append((name, path, 0, None, share, 0, 0, 0))
-                rows += [(name, path, up, outer, 0.0, int(plain), int(named), crc) for up, outer, plain, named, crc in page.levels(path)]
+            votes, steps = dict(page.votes()), page.steps()
+            rows += [(name, path, votes.get(path), *steps.get(path, (None, 0, 0, None))) for path in votes | steps]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, inner): each host's winning container path, inner, and the path that it climbs to. Ties go to the path that is first in order."""
-    rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    found = rows.mapInArrow(_ballots, _BALLOT).groupBy("host", "path", "up", "outer").agg(
-        F.round(F.sum("share"), 6).alias("votes"), F.count(F.lit(1)).alias("n"), F.sum("plain").alias("plain"), F.sum("named").alias("named"), F.approx_count_distinct("crc").alias("texts")
-    )
-    level = F.when(F.col("up") > 0, F.struct("up", "outer", "n", "plain", "named", "texts"))
-    own = lambda c: F.max(F.when(F.col("up") == 0, F.col(c)))
-    votes = found.groupBy("host", "path").agg(own("votes").alias("votes"), own("n").alias("n"), F.array_sort(F.collect_list(level)).alias("levels"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path", "n", "levels")).alias("b"))
+    """(host, path, votes, inner): each host's winning container path, inner, and the path that it climbs to. Ties go to the path that is first in order.
 
-    def climb(at: Column, one: Column) -> Column:
-        differ = (one["texts"] >= 2) & (2 * one["texts"] > one["n"])
-        on = at["on"] & (2 * one["plain"] > F.col("b.n")) & ((2 * one["named"] > one["n"]) | differ)
-        return F.struct(on.alias("on"), F.when(on, one["outer"]).otherwise(at["path"]).alias("path"))
-
-    start = F.struct(F.lit(True).alias("on"), F.col("b.path").alias("path"))
-    return best.select("host", F.aggregate("b.levels", start, climb)["path"].alias("path"), (-F.col("b.v")).alias("votes"), F.col("b.path").alias("inner"))
+    The climb is one join of all hosts for each level that adds text, until none goes on.
+    """
+    rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
+    found = materialise(rows.mapInArrow(_ballots, _BALLOT).groupBy("host", "path", "outer").agg(
+        F.sum("share").alias("votes"), F.count("share").alias("n"), F.count("outer").alias("adds"), F.sum("plain").alias("plain"), F.sum("named").alias("named"),
+        F.approx_count_distinct("crc").alias("texts"),
+    ), "paths")
+    votes = found.where("n > 0").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"), F.sum("n").alias("n"))
+    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path", "n")).alias("b"))
+    won = best.select("host", (-F.col("b.v")).alias("votes"), F.col("b.path").alias("inner"), F.col("b.n").alias("pages"), F.col("b.path").alias("path"), F.col("b.path").alias("at"))
+    usual = F.max(F.struct("adds", "outer", "plain", "named", "texts")).alias("s")
+    steps = found.where("outer is not null").groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(usual).select("h", "p", "s.*")
+    differ = (F.col("texts") >= 2) & (2 * F.col("texts") > F.col("adds"))
+    on = F.coalesce((2 * F.col("plain") > F.col("pages")) & ((2 * F.col("named") > F.col("adds")) | differ), F.lit(False))
+    done, going = None, won
+    while True:
+        step = going.join(steps, (F.col("host") == F.col("h")) & (F.col("at") == F.col("p")), "left")
+        step = step.select("host", "votes", "inner", "pages", F.when(on, F.col("outer")).otherwise(F.col("path")).alias("path"), F.when(on, F.col("outer")).alias("at"))
+        step = materialise(step, "climb")
+        ended, going = step.where("at is null"), step.where("at is not null")
+        done = ended if done is None else done.unionByName(ended)
+        if going.isEmpty():
+            return done.select("host", "path", "votes", "inner")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +342,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages; null html and pages without text give the empty text.
 
-    A host with a large part of all pages is one row of the winners; the join to them
-    leaves its pages to Spark's skew handling, or moves no page at all where the winners are small.
+    Null urls and those without :// are pages of the empty host. Repeated rows repeat, an
+    empty table gives none, other columns are ignored, and equal votes go to the path that is
+    first in order. A host with more than one in HOT of all pages meets its winner by a
+    broadcast of at most HOT rows, so its pages stay in their tasks; the pages of the others
+    are dealt by host.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    placed = rows.withColumn("host", host(F.col("url"))).join(host_paths(pages).select("host", "path", "inner"), "host", "left")
-    return placed.select("page_id", "url", "html", "path", "inner").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    placed = rows.withColumn("host", host(F.col("url")))
+    winners = host_paths(pages).select("host", "path", "inner")
+    hot = materialise(placed.groupBy("host").count().where(F.col("count") * HOT > pages.count()).select("host"), "hot")  # fewer than HOT rows
+    few = F.broadcast(hot.join(winners, "host", "left"))
+    columns = ("page_id", "url", "html", "path", "inner")
+    found = placed.join(few, "host").select(*columns)
+    rest = placed.join(F.broadcast(hot), "host", "left_anti").join(winners, "host", "left").select(*columns)
+    return found.unionByName(rest).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
