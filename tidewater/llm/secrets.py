@@ -2,9 +2,9 @@
 
 Base spans are assignments (password = ...), access keys (AKIA...) and long hexadecimal
 runs. The token-efficiency test looks at runs of 20 or more key characters that hold
-both letters and digits: ordinary words and names take few tokens of a tiktoken
-vocabulary, random strings many. A run of under RATIO characters a token is reported,
-unless it is a known digest (hexadecimal of a digest's length), an identifier (UUID,
+letters and digits, or large and small letters: ordinary words and names take few tokens
+of a tiktoken vocabulary, random strings many. A run of under RATIO characters a token
+(under LETTERS_RATIO without a digit) is reported, unless it is a known digest (hexadecimal of a digest's length), an identifier (UUID,
 or words and numbers joined by separators or capitals), or touches a base span. Where
 the whole run is not reported, its parts are tested in the same way: a key in a path or
 after a name is the neighbour of ordinary words, which would hide it in the average.
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.storage import place_of
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before this vocabulary's merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,6 +36,8 @@ _NAMES = ("passw", "secret", "token", "api")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 1.9
+#: For runs of letters alone, which hold at least this many large and small ones.
+LETTERS_RATIO, LETTERS_MIXED = 1.7, 4
 #: Pieces of a run, between its separators. A key can hold separators itself, so neighbouring pieces are tested together up
 #: to JOINED characters, where separators are at most a SPARSE-th of them and the first and last piece are no words or numbers.
 _PIECE = re.compile(r"[A-Za-z0-9]+")
@@ -68,19 +72,21 @@ def _identifier(run: str) -> bool:
 
 def _random(run: str, vocabulary: str) -> bool:
     bare = run.strip("=")
-    if len(bare) < 20 or not any(c.isdigit() for c in bare) or sum(c.isalpha() for c in bare) < 4:
+    ratio = RATIO if any(c.isdigit() for c in bare) else LETTERS_RATIO
+    large, small = sum(c.isupper() for c in bare), sum(c.islower() for c in bare)
+    if len(bare) < 20 or large + small < 4 or ratio == LETTERS_RATIO and min(large, small) < LETTERS_MIXED:
         return False
     if _DIGEST.fullmatch(bare) and len(bare) in _DIGEST_LENGTHS or _identifier(bare):
         return False
-    return len(bare) < RATIO * len(encoding(vocabulary).encode_ordinary(bare))
+    return len(bare) < ratio * len(encoding(vocabulary).encode_ordinary(bare))
 
 
 def _random_parts(text: str, start: int, end: int, apart: list[tuple[int, int]], vocabulary: str) -> list[tuple[int, int]]:
     """The parts of the run text[start:end] that are random by themselves; none touches a span of apart, a UUID or a digest."""
-    apart = apart + [m.span() for m in _UUID_INSIDE.finditer(text, start, end)]
+    apart = _Touching(sorted(apart + [m.span() for m in _UUID_INSIDE.finditer(text, start, end)]))
     pieces = []  # start, end, may begin or end a part; None: no part goes across
     for m in _PIECE.finditer(text, start, end):
-        if any(s < m.end() and m.start() < e for s, e in apart) or _DIGEST.fullmatch(m[0]) and len(m[0]) in _DIGEST_LENGTHS:
+        if apart.of(*m.span()) or _DIGEST.fullmatch(m[0]) and len(m[0]) in _DIGEST_LENGTHS:
             pieces.append(None)
         else:
             pieces.append((m.start(), m.end(), not m[0].isdigit() and not _identifier(m[0])))
@@ -102,6 +108,20 @@ def _random_parts(text: str, start: int, end: int, apart: list[tuple[int, int]],
     return found
 
 
+class _Touching:
+    """The spans that touch each of a row of ascending spans, in one pass over both."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self._spans, self._next, self._now = spans, 0, []
+
+    def of(self, start: int, end: int) -> list[tuple[int, int]]:
+        while self._next < len(self._spans) and self._spans[self._next][0] < end:
+            self._now.append(self._spans[self._next])
+            self._next += 1
+        self._now = [s for s in self._now if s[1] > start]
+        return self._now[:]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of the base kinds, in order."""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -117,8 +137,9 @@ def secret_spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int
     """Base spans and the token-efficiency test's, in order."""
     base = base_spans(text)
     more = []
+    around = _Touching([(s, e) for s, _, e in base])
     for m in RUN.finditer(text):
-        touched = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        touched = around.of(*m.span())
         if not touched and _random(m[0], vocabulary):
             more.append((m.start(), 3, m.end()))
         else:
@@ -134,7 +155,12 @@ _FOUND = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, spans) for every row of docs: all spans in code points, end exclusive; null texts have none."""
+    """(doc_id, spans) for every row of docs: all spans in code points, end exclusive; null and empty texts have none.
+
+    Repeated rows repeat, an empty table gives none, and other columns are ignored. A very
+    long text is read whole, in time in proportion to its length and its number of spans.
+    The vocabulary is a path that every executor can open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -147,8 +173,8 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def redact(docs: DataFrame, vocabulary: str = VOCABULARY, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mark (overlapping spans by one); null texts stay null."""
-    place = docs.columns.index("text")
+    """docs with every span of text replaced by mark (overlapping spans by one), with all columns; null texts stay null."""
+    place = place_of(docs, "text")
 
     def clean(text: str | None) -> str | None:
         if not text:
