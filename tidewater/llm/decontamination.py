@@ -10,7 +10,6 @@ by an item if the tiles cover at least COVERAGE of the item's tokens.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,10 @@ from tidewater.llm.storage import materialise
 SEED, TILE, COVERAGE = 5, 3, 0.6
 #: The seeds' filter is a bit map of this fixed size; a larger benchmark lets more seeds through to the join, which decides.
 FILTER_BITS = 24
+#: Items that go with a document's text at once; a document that may hold more is sent again for each further so many.
+ITEMS = 1000
+#: Pairs of positions that are looked at together.
+PAIRS = 1 << 20
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,8 +46,48 @@ def _windows(run: np.ndarray, powers: np.ndarray, length: int, free: np.ndarray)
         return at, (run[at + length] - run[at]) * powers[len(powers) - 1 - at]
 
 
+def _beginnings(own: tuple[np.ndarray, np.ndarray, np.ndarray], at: tuple[np.ndarray, np.ndarray, np.ndarray], m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of (item, text) positions where runs begin: windows of one hash behind different tokens, in parts of about PAIRS.
+
+    own and at: positions, window hashes and the tokens before (below m, 0 and 1 for none) of
+    the item's and the text's windows. Windows behind one token are inside a longer run, and
+    are passed over without looking at each pair.
+    """
+    known, group = np.unique(own[1], return_inverse=True)
+    code = group * m + own[2]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    place = np.minimum(np.searchsorted(known, at[1]), max(0, len(known) - 1))
+    same = known[place] == at[1] if len(known) else np.zeros(len(at[1]), bool)
+    text, base, before = at[0][same], place[same] * m, at[2][same]
+    edges = [np.searchsorted(code, x, side) for x, side in ((base, "left"), (base + before, "left"), (base + before, "right"), (base + m - 1, "right"))]
+    first, n = np.concatenate([edges[0], edges[2]]), np.concatenate([edges[1] - edges[0], edges[3] - edges[2]])
+    text = np.concatenate([text, text])[n > 0]
+    first, n = first[n > 0], n[n > 0]
+    for a, b in words.spans(n, PAIRS):
+        many = n[a:b]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield own[0][order[np.repeat(first[a:b], many) + within]], np.repeat(text[a:b], many)
+
+
+def _lengths(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many unmarked tokens are equal from each pair of positions on."""
+    k = np.zeros(len(p), np.int64)
+    live = np.arange(len(p))
+    while len(live):
+        x, y = p[live] + k[live], d[live] + k[live]
+        inside = (x < len(item)) & (y < len(text))
+        live, x, y = live[inside], x[inside], y[inside]
+        live = live[free_item[x] & free_text[y] & (item[x] == text[y])]
+        k[live] += 1
+    return k
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item position, text position, length) of two token sequences, longest first."""
+    """Greedy tiles (item position, text position, length) of two token sequences, longest first.
+
+    Memory is in proportion to both lengths, also where one token repeats without end.
+    """
     least = min(least, len(item))
     if not least or len(text) < least:
         return []
@@ -52,37 +95,31 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = TILE) -> list[tuple[in
     with np.errstate(over="ignore"):
         powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _ROLL, np.uint64))])
         runs = [np.concatenate([[np.uint64(0)], np.cumsum(x * powers[: len(x)])]) for x in (item, text)]
+    known, both = np.unique(np.concatenate([item, text]), return_inverse=True)
+    m = len(known) + 2
+    item, text = both[: len(item)] + 2, both[len(item) :] + 2
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
+
+    def before(tokens: np.ndarray, free: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+        return np.where((at > 0) & free[at - 1], tokens[at - 1], none)
+
     length = max(least, min(len(item), len(text)) // 2)
     while True:
-        found = []
+        found = np.zeros((3, 0), np.int64)
         if length <= min(len(item), len(text)):
             own, own_hash = _windows(runs[0], powers, length, free_item)
             at, at_hash = _windows(runs[1], powers, length, free_text)
-            same = np.isin(at_hash, own_hash)
-            by_hash = defaultdict(list)
-            for p, h in zip(own.tolist(), own_hash.tolist(), strict=True):
-                by_hash[h].append(p)
-            done: set[tuple[int, int]] = set()
-            for d, h in zip(at[same].tolist(), at_hash[same].tolist(), strict=True):
-                for p in by_hash[h]:
-                    if (p - 1, d - 1) in done:  # inside a match that began earlier
-                        done.add((p, d))
-                        continue
-                    k = 0
-                    while p + k < len(item) and d + k < len(text) and free_item[p + k] and free_text[d + k] and item[p + k] == text[d + k]:
-                        k += 1
-                    if k >= length:
-                        done.add((p, d))
-                        found.append((k, p, d))
-        longest = max(found, default=(0,))[0]
+            for p, d in _beginnings((own, own_hash, before(item, free_item, own, 0)), (at, at_hash, before(text, free_text, at, 1)), m):
+                k = _lengths(item, text, free_item, free_text, p, d)
+                found = np.concatenate([found, np.stack([k, p, d])[:, k >= length]], axis=1)
+        longest = int(found[0].max(initial=0))
         if longest > 2 * length:
             length = longest
             continue
         marked = False
-        for k, p, d in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[p : p + k].all() and free_text[d : d + k].all():
+        for k, p, d in found[:, np.lexsort((found[2], found[1], -found[0]))].T.tolist():
+            if free_item[p] and free_text[d] and free_item[p : p + k].all() and free_text[d : d + k].all():
                 free_item[p : p + k] = free_text[d : d + k] = False
                 tiles.append((p, d, k))
                 marked = True
@@ -134,30 +171,31 @@ def _hits(bitmap: np.ndarray, bits: int):
     return run
 
 
+_FOUND = "doc_id long, digest string, item_id long, n_tokens long, n_tiles long, coverage double"
+
+
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text against its items: (item_id, item) lists."""
     for batch in batches:
-        texts, first = tokens(batch.column("text"))
-        items, start = tokens(batch.column("item"))
-        n_tiles, n_tokens, covered = [], [], []
+        out: list[tuple] = []
+        digests, ids = batch.column("digest").to_pylist(), batch.column("doc_id").to_pylist()
         for i in range(batch.num_rows):
-            item = items[start[i] : start[i + 1]]
-            tiles = tile(item, texts[first[i] : first[i + 1]])
-            n_tiles.append(len(tiles))
-            n_tokens.append(len(item))
-            covered.append(sum(k for _, _, k in tiles))
-        share = np.array(covered) / np.maximum(n_tokens, 1)
-        mask = pa.array(share >= COVERAGE)
-        out = [batch.column("doc_id"), batch.column("item_id"), pa.array(n_tokens, pa.int64()), pa.array(n_tiles, pa.int64()), pa.array(share)]
-        yield pa.RecordBatch.from_arrays([x.filter(mask) for x in out], names=["doc_id", "item_id", "n_tokens", "n_tiles", "coverage"])
-
-
-def contaminations(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, item_id, n_tokens, n_tiles, coverage): the documents that hold benchmark items, once per pair and row of docs.
-
-    Null and empty texts match nothing. An item of fewer than SEED tokens matches only a
-    document that consists of just these tokens, as shorter runs occur everywhere. Rows
-    with a null doc_id are judged too (and give a null doc_id); repeated rows repeat.
-    """
+            text, _ = tokens(batch.column("text").slice(i, 1))
+            listed = batch.column("items").slice(i, 1).flatten()
+            own, start = tokens(listed.field("item"))
+            for j, item_id in enumerate(listed.field("item_id").to_pylist()):
+                item = own[start[j] : start[j + 1]]
+                tiles = tile(item, text)
+                share = sum(k for _, _, k in tiles) / max(1, len(item))
+                if share >= COVERAGE:
+                    out.append((ids[i], digests[i], item_id, len(item), len(tiles), share))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """contaminations() with digest, the MD5 of the document's text."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
@@ -176,11 +214,31 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FIL
 
     hits = materialise(texts.mapInArrow(run, "row long, doc_id long, text string, seeds array<long>"), "hits")
     pairs = hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_id").distinct()
-    full = pairs.join(items.distinct(), "item_id").join(hits.select("row", "doc_id", "text"), "row")
-    return full.select("doc_id", "item_id", "text", "item").mapInArrow(_tiled, "doc_id long, item_id long, n_tokens long, n_tiles long, coverage double")
+    parts = -(-benchmark.count() // ITEMS)
+    listed = pairs.join(items.distinct(), "item_id").groupBy("row", F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))).alias("part"))
+    listed = listed.agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    full = listed.join(hits.select("row", "doc_id", "text"), "row")
+    return full.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text", "items").mapInArrow(_tiled, _FOUND)
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, item_id, n_tokens, n_tiles, coverage): the documents that hold benchmark items, once per pair and row of docs.
+
+    Null and empty texts match nothing. An item of fewer than SEED tokens matches only a
+    document that consists of just these tokens, as shorter runs occur everywhere. Rows
+    with a null doc_id are judged too (and give a null doc_id); repeated rows repeat, an
+    empty table gives none, other columns are ignored. A very long text is tiled whole. A
+    text moves once with all items that it may hold (at most about ITEMS at once).
+    """
+    return _found(docs, benchmark, filter_bits).drop("digest")
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item (rows without doc_id stay)."""
-    found = materialise(contaminations(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, with all columns.
+
+    A row is known by its doc_id (or that it has none) and its text together, so rows that
+    share a doc_id are judged each by its own text.
+    """
+    found = materialise(_found(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")).distinct(), "contaminated")
+    own = F.md5(docs["text"].cast("string").cast("binary"))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["found_id"]) & (own == found["found_digest"]), "left_anti")
