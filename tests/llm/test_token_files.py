@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import token_files as T
 from tidewater.llm import words
@@ -45,5 +46,17 @@ def test_round_trip_and_resumed_reads(spark, odd_docs, tmp_path):
     assert decoded == sorted(r["text"] or "" for r in odd_docs.collect())
 
 
+def test_tasks_write_ranges(spark, tmp_path):
+    docs = materialise(spark.range(3000).selectExpr("id as doc_id", "repeat('a b c ', 20) as text"), "docs")
+    got = T.write_shards(docs, f"file://{tmp_path}", length=64, slots=100).withColumn("task", F.spark_partition_id()).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r["task"], []).append(r["slot"])
+    assert len({r["shard"] for r in got}) > 20 and len(tasks) == spark.sparkContext.defaultParallelism
+    assert all(sorted(s) == s == list(range(s[0], s[-1] + 1)) and s[0] % 100 == 0 for s in tasks.values())
+    sizes = sorted(len(s) for s in tasks.values())
+    assert sizes[-1] - sizes[0] <= 200
+
+
 def test_empty_table(spark, odd_docs, tmp_path):
     assert T.write_shards(odd_docs.limit(0), f"file://{tmp_path}").count() == 0

@@ -5,7 +5,9 @@ input partition, into sequences of a fixed number of tokens (an end token after
 document; only a partition's last sequence is padded). Sequence i of N goes to slot
 P(i), where P is a keyed Feistel permutation of the next larger even power of two, walked
 until it falls below N. A shard is a file of consecutive slots, each of the same number
-of bytes, so slot s stands at a known place and a reader can resume anywhere.
+of bytes, so slot s stands at a known place and a reader can resume anywhere. Slots are
+spread over 0 .. N - 1 without gaps, so the ranges of slots that tasks write are known
+beforehand: each task writes a run of whole shards, and their number follows the bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tidewater.llm.secrets import VOCABULARY, encoding
 
 SEQUENCE = 512
 SLOTS = 8192
+#: Bytes of token files that one task writes, about, where there is more than one such part for each core.
+TASK_BYTES = 256 << 20
 KEY = 20240229
 ROUNDS = 6
 
@@ -201,7 +205,11 @@ def write_shards(docs: DataFrame, folder: str, length: int = SEQUENCE, slots: in
     another name and then moved, so a task that runs twice leaves one whole file. docs has
     to be read in the same partitions each time (files, or a checkpoint): a first pass
     counts each partition's sequences, a second one numbers them. If the passes differ,
-    or a slot is missing, the write fails. Null texts count as empty (an end token).
+    or a slot is missing, the write fails. Null and empty texts are an end token each,
+    repeated rows repeat, very long texts fill as many sequences as they need, an empty table
+    gives no rows and no files; other columns are ignored. Texts are tokenised twice, as the
+    numbering needs the counts and tokens are not kept in between. With many sequences choose
+    larger slots: the number of files is that of sequences by slots.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -258,7 +266,9 @@ def write_shards(docs: DataFrame, folder: str, length: int = SEQUENCE, slots: in
 
     shards = max(1, -(-total // slots))
     sequenced = rows.mapInArrow(number, "slot long, shard long, n_tokens long, first_doc_id long, tokens binary")
-    laid = sequenced.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    tasks = min(shards, max(spark.sparkContext.defaultParallelism, total * 2 * length // TASK_BYTES))
+    part = F.expr(f"cast(shard * {tasks} div {shards} as int)")  # ranges of shards, all but evenly
+    laid = sequenced.repartitionById(tasks, part).sortWithinPartitions("shard", "slot")
     return laid.mapInArrow(write, "slot long, shard long, start long, n_tokens long, first_doc_id long, crc32 long, file string")
 
 
