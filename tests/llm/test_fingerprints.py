@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidewater.llm import fingerprints as P
 from tidewater.llm import words
@@ -46,11 +47,23 @@ def test_edited_pairs_by_brute_force(spark):
 
 
 def test_ranks_of_cuts(spark):
-    from pyspark.sql import functions as F
+    cuts = [(x // 3, x * 37 % 11 - 5 + 100 * (x % 3)) for x in range(-50, 900, 7)]
+    got = spark.range(-60, 950, 1).select("id", (F.col("id") % 100).alias("h"), P._count_not_above(sorted(cuts), F.col("id"), F.col("id") % 100).alias("n")).collect()
+    assert all(r["n"] == sum(c <= (r["id"], r["h"]) for c in cuts) for r in got)
 
-    cuts = [float(x) for x in range(-50, 900, 7)]
-    got = spark.range(-60, 950, 11).select("id", P._count_not_above(cuts, F.col("id")).alias("n")).collect()
-    assert all(r["n"] == sum(c <= r["id"] for c in cuts) for r in got)
+
+def test_rows_of_one_doc_id_take_several_ranges(spark):
+    rows = [(7, f"text {i} " * 3) for i in range(90)] + [(None, f"none {i}") for i in range(90)] + [(3, "same")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = P.edited_pairs(docs, rows_per_range=5).withColumn("task", F.spark_partition_id()).collect()
+    ordered = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()).collect()]
+    want = []
+    for n, (i, t) in enumerate(ordered):
+        following = ordered[(n + 1) % len(ordered)][1]
+        a, e, b = P.fingerprints(pa.array([t, P._edit(t, following), following]))
+        want.append((i or 0, hashlib.sha256(P._edit(t, following).encode()).hexdigest(), round(P.likeness([a], [e])[0], 9), round(P.likeness([a], [b])[0], 9)))
+    assert sorted((r["doc_id"] or 0, r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+    assert len({r["task"] for r in got if r["doc_id"] == 7}) > 1 < len({r["task"] for r in got if r["doc_id"] is None})
 
 
 def test_odd_rows(spark, odd_docs):

@@ -11,6 +11,7 @@ since that many bins agree by chance.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from tidewater.llm import words
 SHINGLE = 5
 BINS, BITS = 512, 4
 _PROBES = 16
+#: Rows that are drawn for each range of the table.
+_DRAWN = 5
 
 _rng = np.random.Generator(np.random.PCG64(512))
 _ORDER = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int64)  # row: a bin's probe order
@@ -134,47 +137,56 @@ def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
     )
 
 
-def _count_not_above(cuts: list[float], key: Column) -> Column:
-    """How many of the ascending cuts are at most key, by a coarse and a fine step of about sqrt(len(cuts)) each."""
-    whole = [min(max(int(c), -(2**63)), 2**63 - 1) for c in cuts]
-    step = max(1, round(len(whole) ** 0.5))
-    blocks = [whole[i : i + step] for i in range(0, len(whole), step)]
-    if not blocks:
+def _count_not_above(cuts: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the ascending cuts are at most (key, tie), by a coarse and a fine step of about sqrt(len(cuts)) each."""
+    if not cuts:
         return F.lit(0)
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    block = F.size(F.filter(literal([b[0] for b in blocks]), lambda c: c <= key))
-    inside = F.element_at(F.array(*[literal(b) for b in blocks]), F.greatest(block, F.lit(1)))
-    return F.greatest(block - 1, F.lit(0)) * step + F.size(F.filter(inside, lambda c: c <= key))
+    step = max(1, round(len(cuts) ** 0.5))
+    parts = [[{"k": k, "h": h} for k, h in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+    one = "struct<k:bigint,h:bigint>"
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
+    above = lambda c: (c["k"] < key) | ((c["k"] == key) & (c["h"] <= tie))
+    part = F.size(F.filter(literal([b[0] for b in parts], f"array<{one}>"), above))
+    inside = F.element_at(literal(parts, f"array<array<{one}>>"), F.greatest(part, F.lit(1)))
+    return F.greatest(part - 1, F.lit(0)) * step + F.size(F.filter(inside, above))
 
 
-def edited_pairs(docs: DataFrame, rows_per_range: int = 2000, max_ranges: int = 20_000) -> DataFrame:
+def _cuts(keys: DataFrame, n: int, ranges: int) -> list[tuple[int, int]]:
+    """Ascending (k, h) that part n rows into about so many ranges, from a draw of some rows for each; they decide where rows lie, not what comes out."""
+    if ranges < 2:
+        return []
+    drawn = sorted(keys.sample(min(1.0, _DRAWN * ranges / n), 17).select("k", "h").toPandas().itertuples(index=False, name=None))
+    return sorted({(int(k), int(h)) for k, h in drawn[:: max(1, len(drawn) // ranges)][1:]})
+
+
+def edited_pairs(docs: DataFrame, rows_per_range: int = 2000, max_ranges: int = 200_000) -> DataFrame:
     """For every row its fingerprint, that of its edited text, and their likeness.
 
-    The next document is the one that follows in descending doc_id (null ids last, ties
-    by text); after the last comes the first. Ranges of doc_id are cut at approximate
-    quantiles (at most max_ranges numbers on the driver), and each range gets as a guest
-    a copy of the first row of the next non-empty range, so every row meets its next
-    row in one shuffle of the texts. An empty table gives no rows; in a table of one row
-    the next document is the row itself.
+    The next document is the one that follows in descending doc_id (null ids last, ties by
+    the text's hash); after the last comes the first. The table is cut into ranges of
+    doc_id and hash at drawn rows, so many rows of one doc_id take several ranges too
+    (max_ranges cuts at most are on the driver; beyond that ranges grow, and as a task reads
+    its ranges row by row, only their time does). Each range gets as a guest a copy of the
+    first row of the next non-empty range, so every row meets its next row in one shuffle of
+    the texts. Null texts count as empty; repeated rows follow each other; an empty table
+    gives no rows; in a table of one row the next document is the row itself; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    key, tie = F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.xxhash64("text")
     n = docs.count()
-    ranges = max(1, min(max_ranges, n // rows_per_range))
-    cuts = sorted(set(rows.select(key.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    cuts = _cuts(rows.select(key.alias("k"), tie.alias("h")), n, max(1, min(max_ranges, n // rows_per_range)))
     # Ranges are numbered in descending doc_id, the order in which documents follow each other.
-    placed = rows.withColumn("place", (F.lit(len(cuts)) - _count_not_above(cuts, key)).cast("int"))
+    placed = rows.withColumn("place", (F.lit(len(cuts)) - _count_not_above(cuts, key, tie)).cast("int"))
 
-    heads = placed.groupBy("place").agg(F.max(F.struct(key.alias("k"), F.xxhash64("text").alias("h"))).alias("head"))
+    heads = placed.groupBy("place").agg(F.max(F.struct(key.alias("k"), tie.alias("h"))).alias("head"))
     order = Window.orderBy("place")
     around = heads.select("place", "head", F.lag("place").over(order).alias("before"), F.max("place").over(Window.partitionBy(F.lit(0))).alias("end"))
     guests = around.select(F.coalesce("before", "end").alias("to"), F.col("head.k").alias("k"), F.col("head.h").alias("h"))
-    guests = placed.select("text", "doc_id", key.alias("k"), F.xxhash64("text").alias("h")).join(F.broadcast(guests), ["k", "h"])
+    guests = placed.select("text", "doc_id", key.alias("k"), tie.alias("h")).join(F.broadcast(guests), ["k", "h"])  # a row for each range
     guests = guests.dropDuplicates(["to"]).select(F.col("to").alias("place"), F.lit(True).alias("guest"), "doc_id", "text")
     laid = placed.select("place", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
-    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 8)
-    laid = laid.repartition(width, "place").sortWithinPartitions(
-        "place", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()
-    )
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(cuts), n // (8 * rows_per_range)))
+    laid = laid.repartitionById(width, F.pmod("place", F.lit(width))).sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), tie.desc())
     return laid.mapInArrow(_pairs, _RESULT)
