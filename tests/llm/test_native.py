@@ -94,11 +94,36 @@ def test_taken_and_the_pipeline_read_the_shards(spark, monkeypatch):
     taken = {r["doc_id"]: r["taken"] for r in M.taken(docs).collect()}
     words = Counter()
     for r in dict(kept)["mixed"].collect():
-        words[r["doc_id"]] += len(r["row"]["text"].split())
+        words[r["doc_id"]] += r["size"]
     assert taken == {i: words[i] for i in range(6000)}
     assert dict(kept)["mixed"].select("mix_shard").distinct().count() == M.SHARDS
 
 
+def test_the_quotas_decide_what_is_read(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    mix = M.Mix(rows_per_block=20, shards=4)
+    want, blocks = {}, {}
+    split = M.split_quotas
+    monkeypatch.setattr(M, "split_quotas", lambda read, *a: want.update(split(read, *a)) or want)
+    got = M.assigned(docs, mix).collect()
+    for r in got:
+        key = int(hashlib.md5(f"1|{r['doc_id']}".encode()).hexdigest()[:15], 16)
+        blocks.setdefault((r["source"], r["mix_shard"]), set()).add((r["copy"], key % (1000 // 20)))
+    assert {s: [len(blocks.get((s, i), ())) for i in range(4)] for s in want} == want  # each shard reads just its quota of blocks
+    monkeypatch.setattr(M, "split_quotas", lambda read, shards, seed: {s: [0] * shards for s in read})
+    assert M.assigned(docs, mix).count() == 0 and M.repeated(docs, mix).count() == 0
+    assert {r["taken"] for r in M.taken(docs, mix).collect()} == {0}
+    monkeypatch.setattr(M, "split_quotas", lambda read, shards, seed: {s: [n] + [0] * (shards - 1) for s, n in read.items()})
+    assert {r["mix_shard"] for r in M.assigned(docs, mix).collect()} == {0}
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    docs = spark.createDataFrame([(i, "a b", "s", 7, "x", 1.0, "old") for i in range(50)], "doc_id long, text string, source string, Copy int, mix_shard string, mix_order double, shard_id string")
+    rows = S.shard_rows(storage.materialise(M.in_shards(M.assigned(docs)), "clash"), [1.0] * 4)
+    assert sorted(rows.columns) == sorted(["doc_id", "text", "source", "shard_id", "copy", "mix_shard", "mix_order"])
+    assert all(isinstance(r["shard_id"], int) and r["copy"] >= 0 for r in rows.collect())
+
+
 def test_mix_of_odd_rows(spark, odd_docs):
     got = M.taken(odd_docs).collect()
     assert len(got) == odd_docs.count()

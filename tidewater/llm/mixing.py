@@ -9,9 +9,11 @@
 3. The blocks that are read are exact quotas. A binary tree over the output shards
    splits them: at each node the left half's share of every source is a draw from the
    multivariate hypergeometric distribution. A shard reads its quota of each source's
-   sequence of blocks, disjoint from all others, and shuffles its rows locally.
+   sequence of blocks, disjoint from all others, and shuffles its rows locally. What no
+   shard's quota reads is not in the mix.
 
-Only the list of sources with its sums is on the driver: one row for each source.
+Only the list of sources with its sums is on the driver: one row for each source. Blocks
+are ranked by two levels of sums, so a source's blocks are never all in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.storage import materialise
+from tidewater.llm.storage import inline_rows, materialise
 
 MOST = 3
 SHARDS = 8
@@ -116,12 +118,29 @@ def split_quotas(blocks: dict, shards: int, seed: int) -> dict:
     return {n: out[i].tolist() for i, n in enumerate(names)}
 
 
+def _ranked(blocks: DataFrame) -> DataFrame:
+    """Blocks (s, order, block, words) with rank (from 0) in their source's order and end, the sum of words up to there.
+
+    Orders are cut into 1024 parts of equal width; sums over the parts come first, and each
+    part is then ranked by itself.
+    """
+    placed = blocks.withColumn("part", F.shiftright("order", 50))
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("s", "part").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
+    starts = parts.select(F.col("s").alias("s0"), F.col("part").alias("part0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    own = Window.partitionBy("s", "part").orderBy("order", "block")
+    inside = placed.withColumns({"_rank": F.row_number().over(own) - 1, "_end": F.sum("words").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    met = inside.join(starts, F.col("s").eqNullSafe(F.col("s0")) & (F.col("part") == F.col("part0")))
+    return met.select(*blocks.columns, (F.col("_rank") + F.col("n0")).cast("long").alias("rank"), (F.col("_end") + F.col("w0")).alias("end"))
+
+
 def plan(slim: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix of rows (source, size, key) as one row for each source: source, source_size, target, n_blocks, held (blocks that have rows), passes, cut_order, cut_block, cut_keys and bounds.
 
     The documents of the blocks before (cut_order, cut_block), and those of this block
-    whose keys are in cut_keys, are read passes + 1 times, the others passes times. bounds: for each shard the end of its range in the
-    source's sequence of blocks.
+    whose keys are in cut_keys, are read passes + 1 times, the others passes times. bounds:
+    for each shard where its range in the source's sequence of blocks ends, as the number
+    of whole passes and the order and block of the first block that is not its own.
     """
     spark = slim.sparkSession
     keyed = slim.select("source", "size", "key")
@@ -129,19 +148,16 @@ def plan(slim: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows = targets(sizes, mix.weights).limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
-    schema = "source string, source_size long, target double, n_blocks long, passes int, rest double"
     told = []
     for r in rows:
         passes = min(MOST, int(r["target"] // r["source_size"])) if r["source_size"] else 0
         rest = max(0.0, r["target"] - passes * r["source_size"]) if passes < MOST else 0.0
         told.append((r["source"], r["source_size"], r["target"], max(1, r["n_rows"] // mix.rows_per_block), passes, rest))
-    sources = spark.createDataFrame(told, schema)
+    sources = inline_rows(spark, told, "source string, source_size long, target double, n_blocks long, passes int, rest double")
 
     placed = keyed.join(_small(sources.select(F.col("source").alias("s"), "n_blocks", "rest")), F.col("source").eqNullSafe(F.col("s")), "inner")
     placed = placed.withColumn("block", F.pmod(F.col("key"), F.col("n_blocks"))).withColumn("order", block_order(F.col("s"), F.col("block"), mix))
-    blocks = placed.groupBy("s", "order", "block", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
-    in_order = Window.partitionBy("s").orderBy("order", "block")
-    blocks = blocks.withColumns({"rank": F.row_number().over(in_order) - 1, "end": F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))})
+    blocks = _ranked(placed.groupBy("s", "order", "block", "rest").agg(F.sum("size").alias("words")))
     cut = blocks.where((F.col("end") >= F.col("rest")) & (F.col("end") - F.col("words") < F.col("rest")) & (F.col("rest") > 0))
     cut = cut.groupBy("s").agg(F.min(F.struct("rank", "order", "block", (F.col("rest") - F.col("end") + F.col("words")).alias("lack"))).alias("c"))
     cut = cut.select("s", F.col("c.rank").alias("cut_rank"), F.col("c.order").alias("cut_order"), F.col("c.block").alias("cut_block"), F.col("c.lack").alias("lack"))
@@ -157,24 +173,24 @@ def plan(slim: DataFrame, mix: Mix = Mix()) -> DataFrame:
         near = done["sum"] - one["w"] <= F.col("lack")
         return F.struct(F.when(near, done["sum"] - one["w"]).otherwise(done["sum"]).alias("sum"), F.when(near, F.concat(done["keys"], F.array(one["key"]))).otherwise(done["keys"]).alias("keys"))
 
-    last = queue.select("s", F.aggregate("q", start, step)["keys"].alias("cut_keys"))
-    held = blocks.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
-    on = lambda a, b, key: F.col(a).eqNullSafe(F.col(b))
-    full = held.withColumnRenamed("s", "h").join(cut, on("h", "s", None), "left").drop("s")
-    full = full.join(last.withColumnRenamed("s", "l"), on("h", "l", None), "left").drop("l")
-    facts = {r["h"]: r for r in full.collect()}  # one row for each source
+    last = queue.select(F.col("s").alias("l"), F.aggregate("q", start, step)["keys"].alias("cut_keys"))
+    held = blocks.groupBy(F.col("s").alias("h")).agg(F.count(F.lit(1)).alias("held"))
+    full = held.join(cut, F.col("h").eqNullSafe(F.col("s")), "left").join(last, F.col("h").eqNullSafe(F.col("l")), "left")
+    full = materialise(full.select("h", "held", "cut_rank", "cut_order", "cut_block", "cut_keys"), "cuts")
+    facts = {r["h"]: r for r in full.select("h", "held", "cut_rank", (F.size("cut_keys") > 0).alias("some")).collect()}  # one row for each source
 
     read = {}
     for name, _, _, _, passes, _ in told:
         f = facts[name]
-        extra = 0 if f["cut_rank"] is None else f["cut_rank"] + bool(f["cut_keys"])
-        read[name] = passes * f["held"] + extra
+        read[name] = passes * f["held"] + (0 if f["cut_rank"] is None else f["cut_rank"] + bool(f["some"]))
     quotas = split_quotas(read, mix.shards, mix.seed)
-    out = []
-    for name, size, target, n_blocks, passes, _ in told:
-        f = facts[name]
-        out.append((name, size, target, n_blocks, f["held"], passes, f["cut_order"], f["cut_block"], f["cut_keys"], [int(x) for x in np.cumsum(quotas[name])]))
-    return spark.createDataFrame(out, "source string, source_size long, target double, n_blocks long, held long, passes int, cut_order long, cut_block long, cut_keys array<long>, bounds array<long>")
+    spots = [(name, *divmod(int(end), facts[name]["held"])) for name in read for end in np.cumsum(quotas[name])]
+    spots = inline_rows(spark, spots, "source string, whole int, rank long")
+    at = blocks.select("s", F.col("rank").alias("r"), "order", "block")
+    ends = at.join(_small(spots), F.col("s").eqNullSafe(F.col("source")) & (F.col("r") == F.col("rank")))
+    ends = ends.groupBy(F.col("s").alias("e")).agg(F.sort_array(F.collect_list(F.struct("whole", "order", "block"))).alias("bounds"))
+    out = sources.join(full, F.col("source").eqNullSafe(F.col("h"))).join(ends, F.col("source").eqNullSafe(F.col("e")))
+    return materialise(out.select("source", "source_size", "target", "n_blocks", "held", "passes", "cut_order", "cut_block", "cut_keys", "bounds"), "plan")
 
 
 def block_order(source: Column, block: Column, mix: Mix) -> Column:
@@ -202,27 +218,28 @@ def mixed(keyed: DataFrame, told: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.withColumn("copies", F.col("p_passes") + extra)
 
 
-def _dealt(keyed: DataFrame, slim: DataFrame, told: DataFrame, mix: Mix) -> DataFrame:
-    """Keyed rows once for each copy that is read, with copy (from 0), mix_shard and mix_order."""
-    at = [F.col(c).alias(f"b_{c}") for c in ("source", "order", "block")]
-    ranked = mixed(slim, told, mix).select(*at).distinct()
-    ranked = ranked.withColumn("b_rank", F.row_number().over(Window.partitionBy("b_source").orderBy("b_order", "b_block")) - 1)
-    met = mixed(keyed, told, mix).where("copies > 0").join(
-        ranked, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("order") == F.col("b_order")) & (F.col("block") == F.col("b_block"))
-    )
-    copy = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    draw = F.col("copy") * F.col("p_held") + F.col("b_rank")
+def _dealt(keyed: DataFrame, told: DataFrame, mix: Mix) -> DataFrame:
+    """Keyed rows once for each copy that a shard's quota reads, with copy (from 0), mix_shard and mix_order; nothing is shuffled."""
+    copies = mixed(keyed, told, mix).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.struct(F.col("copy").alias("whole"), F.col("order").alias("order"), F.col("block").alias("block"))
+    shard = F.size(F.filter("p_bounds", lambda b: b <= at))
     order = _hash(F.lit(f"order{mix.seed}"), F.col("key").cast("string"), F.col("copy").cast("string"))
-    return copy.select(*keyed.columns, "copy", F.size(F.filter("p_bounds", lambda b: b <= draw)).alias("mix_shard"), order.alias("mix_order"))
+    return copies.select(*keyed.columns, "copy", shard.alias("mix_shard"), order.alias("mix_order")).where(F.col("mix_shard") < mix.shards)
 
 
 def assigned(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: docs' columns, and for every copy that is read its copy (from 0), mix_shard and mix_order.
 
-    mix_order sorts a shard's rows at random (a keyed hash), so a shard is shuffled where it is read.
+    mix_order sorts a shard's rows at random (a keyed hash), so a shard is shuffled where it
+    is read. Columns of docs with one of these three names are replaced. Null and empty texts
+    have no words and come with the block that they fall into; rows without doc_id fall into
+    one block of their source; repeated rows are read alike; a null source is a source; an
+    empty table stays empty.
     """
-    slim = _slim(docs, mix)
-    return _dealt(_keyed(docs, mix), slim, plan(slim, mix), mix).select("row.*", "copy", "mix_shard", "mix_order")
+    added = ("copy", "mix_shard", "mix_order")
+    rows = _dealt(_keyed(docs, mix), plan(_slim(docs, mix), mix), mix)
+    kept = [c for c in docs.columns if c.lower() not in added]
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], *added)
 
 
 def in_shards(rows: DataFrame) -> DataFrame:
@@ -233,12 +250,12 @@ def in_shards(rows: DataFrame) -> DataFrame:
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs; taken counts repeats.
 
-    The mix is written shard by shard to the shared folder, and taken is the words of a
-    row's copies that are in it; rows that the mix does not read have 0.
+    The mix's rows, without their texts, are written shard by shard to the shared folder, and
+    taken is the words of a row's copies that are in it; rows that the mix does not read have 0.
     """
     slim = _slim(docs, mix)
     told = plan(slim, mix)
-    written = materialise(in_shards(_dealt(_keyed(docs, mix), slim, told, mix)), "mixed")
+    written = materialise(in_shards(_dealt(slim, told, mix)), "mixed")
     # Repeated rows are read alike: each has its part of what they have together.
     at = ("doc_id", "source", "size", "key")
     read = written.groupBy(*[F.col(c).alias(f"t_{c}") for c in at]).agg(F.sum("size").alias("words"), F.count_if(F.col("copy") == 0).alias("n"))
@@ -250,6 +267,6 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs with each row as often as the mix reads it (rows that it does not read are gone), in docs' columns."""
-    rows = mixed(_keyed(docs, mix), plan(_slim(docs, mix), mix), mix).where("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """docs with each row as often as the mix's shards read it (rows that they do not read are gone), in docs' columns."""
+    rows = _dealt(_keyed(docs, mix), plan(_slim(docs, mix), mix), mix)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -29,7 +29,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """docs with a column shard_id; no shuffle."""
+    """docs with a column shard_id, by doc_id alone; no shuffle.
+
+    Rows of one doc_id share a shard, repeated rows too; those without doc_id share the
+    empty key's. Texts do not matter, null, empty or long. A column shard_id that docs has
+    is replaced, others stay; an empty table stays empty.
+    """
     return docs.withColumn("shard_id", rendezvous(F.col("doc_id"), weights))
 
 

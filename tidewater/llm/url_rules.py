@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.storage import inline_rows
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = r"[a-z0-9]+"
 
@@ -69,7 +71,7 @@ def _best(urls: DataFrame, rules: Sequence[tuple[Rule, bool]]) -> DataFrame:
     """(host, path, rule, verdict, ruled): the best rule for each of the distinct (host, path) that has one."""
     spark = urls.sparkSession
     filed = [(r.name, r.pattern, sorted(set(r.tokens)), r.verdict, r.rank, ruled) for r, ruled in rules if r.tokens]
-    known = spark.createDataFrame(filed, "rule string, pattern string, tokens array<string>, verdict string, rank int, ruled boolean")
+    known = inline_rows(spark, filed, "rule string, pattern string, tokens array<string>, verdict string, rank int, ruled boolean")
     line = F.concat("host", F.translate("path", _UPPER, _LOWER))
     tokens = urls.select("host", "path", F.explode(F.array_distinct(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0)))).alias("token"))
     wanted = known.withColumn("token", F.explode("tokens"))
