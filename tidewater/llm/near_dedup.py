@@ -261,6 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     members = signed.select("doc_id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(members.join(shared, "bucket"), "met")
+    # Only texts that share a bucket are compared; the others move no more after this.
+    texts = materialise(texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     central = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     weighed = met.select("doc_id", "bucket").join(central, "doc_id")
     hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("i")))["i"].alias("i")).select("bucket", (-F.col("i")).alias("hub"))
