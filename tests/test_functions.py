@@ -204,3 +204,13 @@ def test_penalty(spark):
 
 def test_packed_messages(spark):
     assert one(spark, sheets.packed_messages(F.array(*map(F.lit, ["aaa", "bb", "ccccccc"])), 8)) == ["aaa\n\nbb", "ccccccc"]
+
+
+def test_every_country_name_leads_back_to_its_code(spark):
+    from tidewater.functions import places as P
+
+    names = [(code, term) for code, name, others, _ in P.COUNTRIES for term in (code, name, *others) if term.isascii()]
+    rows = spark.createDataFrame(names, "code string, term string")
+    got = rows.select("code", "term", P.country_code(F.col("term")).alias("direct"), P.countries_in(F.concat(F.lit("open to "), "term", F.lit(" applicants"))).alias("found")).collect()
+    assert all(r["direct"] == r["code"] for r in got) and all(r["found"] == ([r["code"]] if len(r["term"]) >= 4 else []) for r in got if r["term"][-1].isalpha())
+    assert "republic of" not in P.LOOKUP

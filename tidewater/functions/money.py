@@ -14,6 +14,9 @@ _PERIOD = ascii_edges(r"(?i)\b(per\s+(?:year|annum|month|week|semester|term)|p\.
 _AMOUNT = ascii_edges(
     rf"(?i)(?:(£|\$|€|¥|₹|KSh|R)\s?|\b({_CODES})\s+)?(\d{{1,3}}(?:[,\s]\d{{3}})+(?:\.\d{{1,2}})?|\d{{4,}}(?:\.\d{{1,2}})?|\d+(?:\.\d{{1,2}})?\s*(?:k|thousand|million|m)\b)"
 )
+#: How a share of the fees and a number of awards are written.
+_SHARE = r"(\d{1,3})\s?%"
+_AWARDS = ascii_edges(r"(?i)\b(?:up\s+to\s+)?(\d{1,4})\s+(?:scholarships?|awards?|studentships?|places?|fellowships?)\s+(?:are\s+|will\s+be\s+|is\s+)?(?:available|offered|awarded|on\s+offer)")
 
 
 def parse_money(text: Column) -> Column:
@@ -57,12 +60,11 @@ def authority(rank: Column) -> Column:
 
 def tuition_percentage(sentences: Column, keyword: str) -> Column:
     """The first percentage of 1 to 100 in a sentence with the keyword."""
-    shares = F.transform(F.filter(sentences, lambda s: s.rlike(keyword)), lambda s: F.regexp_extract(s, r"(\d{1,3})\s?%", 1).try_cast("int"))
+    shares = F.transform(F.filter(sentences, lambda s: s.rlike(keyword)), lambda s: F.regexp_extract(s, _SHARE, 1).try_cast("int"))
     return F.try_element_at(F.filter(shares, lambda p: p.between(1, 100)), F.lit(1))
 
 
 def award_count(sentences: Column) -> Column:
     """How many awards a text offers."""
-    pattern = ascii_edges(r"(?i)\b(?:up\s+to\s+)?(\d{1,4})\s+(?:scholarships?|awards?|studentships?|places?|fellowships?)\s+(?:are\s+|will\s+be\s+|is\s+)?(?:available|offered|awarded|on\s+offer)")
-    numbers = F.transform(sentences, lambda s: F.regexp_extract(s, pattern, 1).try_cast("int"))
+    numbers = F.transform(sentences, lambda s: F.regexp_extract(s, _AWARDS, 1).try_cast("int"))
     return F.try_element_at(F.filter(numbers, lambda n: n.isNotNull()), F.lit(1))

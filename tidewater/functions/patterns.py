@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+
 _W = "[A-Za-z0-9_]"
 #: Between an ASCII word character and anything else.
 EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -16,3 +18,19 @@ def any_word(words: list[str] | tuple[str, ...], ignore_case: bool = True) -> st
     """A pattern for any of the phrases as whole words; a phrase's spaces match any white space."""
     phrases = "|".join(w.replace(" ", r"\s+") for w in words)
     return ("(?i)" if ignore_case else "") + rf"(?<!{_W})(?:{phrases})(?!{_W})"
+
+
+def whole_words(pattern: str) -> str:
+    """A pattern for any of alternatives that all begin with a word character, between ASCII word boundaries, whatever the case; what comes before is one look back."""
+    return rf"(?i)(?<!{_W})(?:{ascii_edges(pattern)}){EDGE}"
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns in a projection of their own; what follows reads them by name and does not repeat what they are made of."""
+    return df.withColumns(columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is heavy for each row; tables of more partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -29,11 +29,10 @@ def drafts(pages: DataFrame, now: datetime) -> DataFrame:
     step = dates.with_deadline(step, "_corpus", "country", now).withColumn("_s", sentences(F.col("_corpus"), 3, 699))
     corpus = F.col("_corpus")
     title = derived_title(F.col("title"), F.try_element_at("headings", F.lit(1)))
-    english = F.struct(*[extract.english_test(F.col("_s"), t).alias(t) for t in extract.ENGLISH])
-    needs = F.struct(english.alias("english"), extract.minimum_gpa(F.col("_s")).alias("minimumGpa"), extract.work_years(F.col("_s")).alias("workExperienceYears"))
+    step = step.withColumn("requirements", extract.requirements(F.col("_s")))
     return step.withColumns({
-        "award_title": title, "normalizedTitle": title_key(title), "degreeLevels": F.col("degree.levels"), "studyMode": extract.study_mode(corpus), "attendance": extract.attendance(corpus),
-        "deliveryMode": extract.delivery_mode(corpus), "requirements": needs, "provider": extract.provider(corpus, title), "applicationUrl": extract.application_url(F.col("links")),
+        "award_title": title, "fieldsOfStudy": F.col("requirements.requiredFields"), "normalizedTitle": title_key(title), "degreeLevels": F.col("degree.levels"), "studyMode": extract.study_mode(corpus), "attendance": extract.attendance(corpus),
+        "deliveryMode": extract.delivery_mode(corpus), "provider": extract.provider(corpus, title), "applicationUrl": extract.application_url(F.col("links")),
         "academicYear": dates.academic_year(corpus), "intake": dates.intake(corpus), "duration": dates.duration(corpus),
     }).drop("_corpus", "_s", "degree")
 
@@ -46,6 +45,7 @@ def fields_extracted(d: DataFrame) -> Column:
         has(F.size("degreeLevels") > 0), has(F.col("studyMode")[0] != "UNKNOWN"), has(F.col("attendance")[0] != "UNKNOWN"), known("funding.primaryType"),
         has(F.col("funding.tuitionCovered.value").isNotNull()), has(F.col("funding.livingStipend.value").isNotNull()), has(F.col("funding.stipendAmount.amount").isNotNull()),
         known("eligibility.scope"), has(F.size("eligibility.countries") > 0), has(F.exists(F.array(*[F.col(f"requirements.english.{t}.required") for t in extract.ENGLISH]), lambda r: r.isNotNull())),
+        has(F.size("fieldsOfStudy") > 0), has(F.col("requirements.minimumDegree").isNotNull()), has(F.size("requirements.documents") > 0),
         known("deadline.kind"), has(F.col("applicationUrl").isNotNull()), has(F.col("academicYear").isNotNull()),
     ]
     return sum(parts[1:], parts[0])

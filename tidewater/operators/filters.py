@@ -70,6 +70,18 @@ def matches(columns: Sequence[Column], pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [_true(c.rlike(f"(?i){pattern}")) for c in columns])
 
 
+def wanted_by(subscriber: str, record: str) -> Column:
+    """Whether a record is open and fits a subscriber's preferences, as the condition of a join of the two aliases.
+
+    An empty or null list of countries or degree levels, and no wish for full funding, exclude nothing.
+    """
+    s, r = lambda c: F.col(f"{subscriber}.{c}"), lambda c: F.col(f"{record}.{c}")
+    all_of = lambda array: array.isNull() | (F.size(array) == 0)
+    place = all_of(s("countries")) | _true(F.array_contains(s("countries"), r("countryCode")))
+    level = all_of(s("degreeLevels")) | _true(F.arrays_overlap(s("degreeLevels"), r("degreeLevels")))
+    return r("status").isin("OPEN", "CLOSING_SOON") & place & level & (~_true(s("fundingOnly")) | equal(r("funding.primaryType"), "FULLY_FUNDED"))
+
+
 def open_to(targets: Column, context: str | None) -> Column:
     """Targeting: an empty or null list is everywhere, and an unknown context excludes nothing."""
     if context is None:

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tidewater.functions.text import fingerprint
 from tidewater.operators.relational import first_by
@@ -80,6 +81,49 @@ def _shown(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
+def _kind_of(schema: DataType, path: str) -> str | None:
+    """The type of a dotted path; null if the schema does not have it."""
+    for name in path.split("."):
+        if not isinstance(schema, StructType) or name not in schema.fieldNames():
+            return None
+        schema = schema[name].dataType
+    return schema.simpleString()
+
+
+def appended_changes(log: DataFrame, found: DataFrame, key: str, now: datetime, source_url: Column | None = None, run: Column | None = None) -> DataFrame:
+    """log with the rows of changes() added, as (key, field, old_value, new_value, change_type, significance, detected_at, source_url, crawl_run_id); rows that are there stay as they are."""
+    added = found.select(
+        key, "field", "old_value", "new_value", F.lit("UPDATED").alias("change_type"), "significance", F.lit(now).alias("detected_at"),
+        (source_url if source_url is not None else F.lit(None)).cast("string").alias("source_url"), (run if run is not None else F.lit(None)).cast("string").alias("crawl_run_id"),
+    )
+    return log.unionByName(added)
+
+
+def verified_domains(known: DataFrame, candidates: DataFrame, now: datetime, verify: bool = True, fresh: str = "30 days") -> DataFrame:
+    """known (domain, name, website, country, status, reason, last_verified_at, discovered_at) after a run over candidates, with outcome: created, updated, rejected, skipped or null where no candidate came.
+
+    candidates: domain (one row each), name, website, country, verified, reason. A domain that
+    is ACTIVE and was verified within fresh is skipped. One that fails becomes UNVERIFIED and
+    keeps its other columns; one that passes takes the candidate's. New domains are added in
+    either case. Without verify all become UNVERIFIED and count as passing.
+    """
+    a, b = known.alias("a"), candidates.withColumn("_c", F.lit(True)).alias("b")
+    old, new = lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")
+    there, came = F.col("a._k").isNotNull(), F.coalesce(F.col("b._c"), F.lit(False))
+    skipped = came & F.coalesce((old("status") == "ACTIVE") & (old("last_verified_at") > F.lit(now) - F.expr(f"interval {fresh}")), F.lit(False))
+    passed = F.lit(True) if not verify else F.coalesce(new("verified"), F.lit(False))
+    outcome = F.when(skipped, "skipped").when(came & ~passed, "rejected").when(came & there, "updated").when(came, "created")
+    site = F.coalesce(new("website"), F.concat(F.lit("https://"), F.col("domain")))
+    takes = F.coalesce(outcome.isin("updated", "created"), F.lit(False))
+    fills = lambda own, other: F.when(takes | (~there & came), other).otherwise(own)
+    judged = F.coalesce(outcome.isin("updated", "created", "rejected"), F.lit(False))
+    return known.withColumn("_k", F.lit(True)).alias("a").join(b, "domain", "full_outer").select(
+        "domain", fills(old("name"), new("name")).alias("name"), fills(old("website"), site).alias("website"), fills(old("country"), F.coalesce(new("country"), F.lit("Unknown"))).alias("country"),
+        F.when(takes, "ACTIVE" if verify else "UNVERIFIED").when(judged, "UNVERIFIED").otherwise(old("status")).alias("status"), F.when(judged, new("reason")).otherwise(old("reason")).alias("reason"),
+        F.when(takes & F.lit(verify), F.lit(now)).otherwise(old("last_verified_at")).alias("last_verified_at"), F.when(there, old("discovered_at")).otherwise(F.lit(now)).alias("discovered_at"), outcome.alias("outcome"),
+    )
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, tracked: Sequence[tuple[str, str, str]] = TRACKED) -> DataFrame:
     """(key, field, old_value, new_value, significance): what differs between two versions of the records in both tables.
 
@@ -90,12 +134,9 @@ def changes(old: DataFrame, new: DataFrame, key: str, tracked: Sequence[tuple[st
     met = a.join(b, key)
     cases = []
     for path, label, weight in tracked:
-        try:
-            kind, other = old.select(path).dtypes[0][1], new.select(path).dtypes[0][1]
-        except Exception as e:
-            if "UNRESOLVED_COLUMN" in str(e) or "FIELD_NOT_FOUND" in str(e):
-                continue
-            raise
+        kind, other = _kind_of(old.schema, path), _kind_of(new.schema, path)
+        if kind is None or other is None:
+            continue
         before, after = _shown(F.col(f"a.{path}"), kind), _shown(F.col(f"b.{path}"), other)
         lost = before.isNotNull() & (before != "UNKNOWN") & (after.isNull() | after.isin("UNKNOWN", ""))
         cases.append(F.when(~before.eqNullSafe(after) & ~lost, F.struct(F.lit(label).alias("field"), before.alias("old_value"), after.alias("new_value"), F.lit(weight).alias("significance"))))

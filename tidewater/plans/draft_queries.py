@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidewater.functions import notices as N
+from tidewater.functions.patterns import spread
 from tidewater.operators import drafts as D
 from tidewater.plans.catalog import query
 from tidewater.plans.record_queries import _award_text
@@ -47,7 +48,7 @@ def cls6_institution(t):
 def _drafts(t):
     none = F.array().cast("array<struct<text:string,href:string,context:string>>")
     link = F.array(F.struct(F.lit("Apply now").alias("text"), F.lit("https://a.org/apply").alias("href"), F.lit("").alias("context")))
-    pages = t("part").select(
+    pages = spread(t("part").select("p_partkey")).select(
         "p_partkey", F.concat(F.lit("https://a.org/"), "p_partkey").alias("url"), F.lit("Award | Uni").alias("title"), F.lit("").alias("meta"), F.array().cast("array<string>").alias("headings"),
         F.when(c("p_partkey") % 4 < 2, link).otherwise(none).alias("links"), _award_text(c("p_partkey")).alias("text"), F.lit("GB").alias("country"),
     )
@@ -59,7 +60,7 @@ def ext1_drafts(t):
     return _drafts(t).select("p_partkey", F.array_join("degreeLevels", ",").alias("levels"), c("deadline.kind").alias("due"), c("award_title").alias("title"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then 8 when 1 then 7 when 2 then 4 else 0 end as fields from part""")
+@query("""select p_partkey, case p_partkey % 4 when 0 then 9 when 1 then 7 when 2 then 4 else 0 end as fields from part""")
 def ext2_filled_fields(t):
     d = _drafts(t)
     return d.select("p_partkey", D.fields_extracted(d).alias("fields"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import classify as K
 from tidewater.functions import extract as X
 from tidewater.functions import places as P
+from tidewater.functions.patterns import spread
 from tidewater.functions.text import sentences
 from tidewater.functions.urls import domain_of, source_type
 from tidewater.operators import feedback as B
@@ -38,7 +39,7 @@ def _award_text(key):
 
 
 def _awards(t):
-    return t("part").select("p_partkey", "p_size", _award_text(c("p_partkey")).alias("text"))
+    return spread(t("part").select("p_partkey", "p_size")).select("p_partkey", "p_size", _award_text(c("p_partkey")).alias("text"))
 
 
 def _by_remainder(*values: str) -> str:
@@ -134,7 +135,7 @@ def cls1_award_link(t):
 
 @query("select page_id, false as is_award, 0.0::double as score from pages")
 def cls2_award_page(t):
-    parsed = S.parsed_pages(t("pages")).withColumn("link_texts", F.transform("links", lambda x: x["text"])).withColumn("structured_types", F.array().cast("array<string>"))
+    parsed = S.parsed_pages(spread(t("pages"))).withColumn("link_texts", F.transform("links", lambda x: x["text"])).withColumn("structured_types", F.array().cast("array<string>"))
     return K.award_pages(parsed).select("page_id", c("verdict.is_award").alias("is_award"), c("verdict.score").alias("score"))
 
 

@@ -152,7 +152,9 @@ def jn4_limit_then_anti(t):
 @query("""select s_suppkey, c_custkey, rank from (select s_suppkey, c_custkey, row_number() over (partition by s_suppkey order by c_acctbal desc, c_custkey) as rank
   from supplier join customer on s_nationkey = c_nationkey and c_acctbal >= s_acctbal) where rank <= 30""")
 def jn5_preference_join_top_k(t):
-    met = t("supplier").join(t("customer"), (c("s_nationkey") == c("c_nationkey")) & (c("c_acctbal") >= c("s_acctbal")))
+    # The order is the filter's own column, so whoever is among a supplier's first 30 is among the nation's.
+    first = R.top_per_group(t("customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), c("c_custkey")], 30)
+    met = t("supplier").join(first, (c("s_nationkey") == c("c_nationkey")) & (c("c_acctbal") >= c("s_acctbal")))
     return R.top_per_group(met.select("s_suppkey", "c_custkey", "c_acctbal"), ["s_suppkey"], [F.desc("c_acctbal"), c("c_custkey")], 30, "rank").select("s_suppkey", "c_custkey", c("rank").cast("long").alias("rank"))
 
 

@@ -10,6 +10,7 @@ from tidewater.functions import dates as D
 from tidewater.functions import money as M
 from tidewater.functions import text as T
 from tidewater.functions import urls as U
+from tidewater.functions.patterns import spread
 from tidewater.operators import lifecycle as L
 from tidewater.operators import relational as R
 from tidewater.plans.catalog import query
@@ -110,7 +111,7 @@ def txt17_snippet(t):
 
 
 def _dated(t):
-    return t("orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("Applications close on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(".")).alias("text"), F.lit("GB").alias("country"))
+    return spread(t("orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", "o_orderdate", F.concat(F.lit("Applications close on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(".")).alias("text"), F.lit("GB").alias("country"))
 
 
 @query("select o_orderkey, (date_trunc('day', o_orderdate) + interval '23 hours 59 minutes 59.999 seconds')::timestamp as date, 0.95::double as confidence from orders")
@@ -135,7 +136,7 @@ def dat3_academic_year(t):
 def dat4_tender_date(t):
     day = F.date_add(F.lit(datetime(2029, 3, 3)).cast("date"), (c("o_orderkey") % 28).cast("int"))
     text = F.concat(F.lit("Opened 01/02/2021, closes "), F.date_format(day, "d MMM yyyy"), F.lit(" or on 2040-01-01"))
-    return t("orders").select("o_orderkey", D.tender_date(text).alias("date"))
+    return spread(t("orders").select("o_orderkey")).select("o_orderkey", D.tender_date(text).alias("date"))
 
 
 @query("select event_id, ts >= timestamp '2024-01-29 23:57:12' and ts <= timestamp '2024-01-30 23:57:12' as last_day, strftime(ts, '%Y-%m') as month from events")

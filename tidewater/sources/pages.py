@@ -6,15 +6,17 @@ Fetching, rendering and PDF text are left to the crawler; its results are the in
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import clean_text
-from tidewater.functions.urls import canonical_url, resolve_url
+from tidewater.functions.urls import canonical_url, normal_domain, resolve_url
 
 _GONE = frozenset("script style noscript svg iframe template".split())
 _CHROME = frozenset("nav header footer aside".split())
@@ -29,15 +31,19 @@ def _clean(text: str) -> str:
 
 
 class _Parser(HTMLParser):
-    """Collects the parts of a page in one walk; text is kept with the regions that are open around it."""
+    """Collects the parts of a page in one walk. An element's text is a run of the page's texts, known by where it begins and ends."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.meta, self.headings, self.links, self.regions = None, None, [], [], {}
-        self._open: list[tuple[str, dict]] = []
-        self._texts: list[tuple[str, tuple[int, ...], bool]] = []
-        self._number = 0
-        self._names: dict[int, tuple[str, dict]] = {}
+        self.meta = None
+        self._texts: list[str] = []
+        self._names: list[tuple[str, dict]] = []
+        self._runs: list[list[int]] = []
+        self._block: list[int] = []  # the nearest anchor block around each element, -1 if there is none
+        self._open: list[int] = []
+        self._opened: Counter[str] = Counter()
+        self._gone = 0
+        self._known: dict[int, str] = {}
 
     def handle_starttag(self, tag, attrs):
         attributes = {k: v or "" for k, v in attrs}
@@ -45,46 +51,68 @@ class _Parser(HTMLParser):
             self.meta = attributes.get("content", "")
         if tag in _VOID:
             return
-        self._number += 1
-        self._names[self._number] = (tag, attributes)
-        self._open.append((tag, attributes | {"#": self._number}))
+        above = self._open[-1] if self._open else -1
+        self._block.append(above if above >= 0 and self._names[above][0] in _ANCHOR_BLOCKS else self._block[above] if above >= 0 else -1)
+        self._open.append(len(self._names))
+        self._names.append((tag, attributes))
+        self._runs.append([len(self._texts), -1])
+        self._opened[tag] += 1
+        self._gone += tag in _GONE
+
+    def _close(self) -> str:
+        n = self._open.pop()
+        tag = self._names[n][0]
+        self._runs[n][1] = len(self._texts)
+        self._opened[tag] -= 1
+        self._gone -= tag in _GONE
+        return tag
 
     def handle_endtag(self, tag):
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == tag:
-                del self._open[i:]
-                return
+        if self._opened[tag]:
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data):
-        if not any(t in _GONE for t, _ in self._open):
-            self._texts.append((data, tuple(a["#"] for _, a in self._open), True))
+        if not self._gone:
+            self._texts.append(data)
 
-    def _text_of(self, number: int) -> str:
-        return _clean("".join(t for t, path, _ in self._texts if number in path))
+    def _text_of(self, n: int) -> str:
+        if n not in self._known:
+            self._known[n] = _clean("".join(self._texts[slice(*self._runs[n])]))
+        return self._known[n]
 
     def result(self) -> dict:
-        by_tag = lambda *tags: [n for n, (t, _) in self._names.items() if t in tags]
-        titles = [self._text_of(n) for n in by_tag("title")[:1]] or [self._text_of(n) for n in by_tag("h1")[:1]]
-        headings = [x for x in (self._text_of(n) for n in by_tag("h1", "h2", "h3", "h4")) if x and len(x) < 250]
+        while self._open:
+            self._close()
+        by_tag: dict[str, list[int]] = {}
+        for n, (tag, _) in enumerate(self._names):
+            by_tag.setdefault(tag, []).append(n)
+        first = (by_tag.get("title", []) + by_tag.get("h1", []))[:1]
+        headings = [x for x in (self._text_of(n) for n in sorted(sum((by_tag.get(f"h{i}", []) for i in range(1, 5)), []))) if x and len(x) < 250]
         links = []
-        for n in by_tag("a"):
+        for n in by_tag.get("a", []):
             if "href" in self._names[n][1]:
-                inside = [path for _, path, _ in self._texts if n in path]
-                above = [m for m in (inside[0] if inside else ()) if m < n and self._names[m][0] in _ANCHOR_BLOCKS]
-                links.append({"text": self._text_of(n), "href": self._names[n][1]["href"], "context": self._text_of(above[-1])[:400] if above else ""})
+                above = self._block[n] if self._runs[n][0] < self._runs[n][1] else -1
+                links.append({"text": self._text_of(n), "href": self._names[n][1]["href"], "context": self._text_of(above)[:400] if above >= 0 else ""})
         scope = None
         for test in (
             lambda t, a: t == "main", lambda t, a: t == "article", lambda t, a: a.get("role") == "main", lambda t, a: a.get("id") == "main-content",
             lambda t, a: a.get("id") == "content", lambda t, a: "main-content" in a.get("class", "").split(),
         ):
-            first = next((n for n, (t, a) in self._names.items() if test(t, a)), None)
-            if first is not None and len(self._text_of(first)) > 400:
-                scope = first
+            found = next((n for n, (t, a) in enumerate(self._names) if test(t, a)), None)
+            if found is not None and len(self._text_of(found)) > 400:
+                scope = found
                 break
-        scope = scope if scope is not None else next(iter(by_tag("body")), None)
-        chrome = {n for n, (t, a) in self._names.items() if n != scope and (t in _CHROME or _CHROME_CLASSES & set(a.get("class", "").split()))}
-        body = [t for t, path, _ in self._texts if (scope is None or scope in path) and not chrome & set(path)]
-        return {"title": titles[0] if titles else "", "meta": _clean(self.meta or ""), "headings": headings, "links": links, "text": _clean("".join(body))}
+        scope = scope if scope is not None else next(iter(by_tag.get("body", [])), None)
+        begin, end = self._runs[scope] if scope is not None else (0, len(self._texts))
+        out = [0] * (len(self._texts) + 1)  # how much chrome opens less how much closes before each text
+        for n, (t, a) in enumerate(self._names):
+            if n != scope and (t in _CHROME or _CHROME_CLASSES & set(a.get("class", "").split())):
+                out[self._runs[n][0]] += 1
+                out[self._runs[n][1]] -= 1
+        depth = list(accumulate(out))
+        body = [t for i, t in enumerate(self._texts[begin:end], begin) if not depth[i]]
+        return {"title": self._text_of(first[0]) if first else "", "meta": _clean(self.meta or ""), "headings": headings, "links": links, "text": _clean("".join(body))}
 
 
 def parse_html(source: str | None) -> dict:
@@ -186,6 +214,24 @@ def capped_per_source(rows: DataFrame, source: str, order: Sequence[Column], mos
     return rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
+def institutions(seeds: DataFrame, payloads: DataFrame, links: DataFrame) -> DataFrame:
+    """(domain, name, website, country, source): candidates from seeds (name, domain, country), a dataset's JSON bodies (body) and harvested links (text, href).
+
+    A body is a list of objects with a name and any of domains, web_pages or website. The
+    first source of a domain wins, in the order seed, dataset, partner; then the least name.
+    """
+    kind = "array<struct<name:string,domains:array<string>,web_pages:array<string>,website:string,country:string>>"
+    rows = payloads.select(F.explode(F.from_json("body", kind)).alias("j"))
+    site = F.coalesce(F.try_element_at("j.domains", F.lit(1)), F.try_element_at("j.web_pages", F.lit(1)), F.col("j.website"))
+    told = (
+        seeds.select(F.lit(1).alias("r"), F.lit("seed").alias("source"), "name", normal_domain(F.col("domain")).alias("domain"), "country")
+        .unionByName(rows.select(F.lit(2).alias("r"), F.lit("dataset").alias("source"), F.col("j.name").alias("name"), normal_domain(site).alias("domain"), F.col("j.country").alias("country")))
+        .unionByName(links.select(F.lit(3).alias("r"), F.lit("partner").alias("source"), F.col("text").alias("name"), normal_domain(F.col("href")).alias("domain"), F.lit(None).cast("string").alias("country")))
+    )
+    best = told.where((F.col("domain") != "") & F.col("name").isNotNull()).groupBy("domain").agg(F.min(F.struct("r", "name", "source", "country")).alias("b"))
+    return best.select("domain", "b.name", F.concat(F.lit("https://"), "domain").alias("website"), "b.country", "b.source")
+
+
 def seed_dimension(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(name, domain, country): institutions to begin with, given by the caller."""
     return spark.createDataFrame(list(rows), "name string, domain string, country string")
