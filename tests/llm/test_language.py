@@ -90,3 +90,9 @@ def test_odd_rows(spark, odd_docs):
     empty = odd_docs.limit(0)
     assert L.identified(empty, model).count() == 0
     assert L.predict(empty, L.fit(empty)).count() == 0
+
+
+def test_copies_fill_the_sample_last(spark):
+    rows = [(i, "one text", "aa") for i in range(100)] + [(1000 + i, f"text number {i}", "aa") for i in range(200)]
+    texts, _ = L.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert len(texts) == len(set(texts)) == 50

@@ -277,8 +277,9 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[s
     """At most per_language labelled texts of each language from the rows that are not held out, as lists on the driver.
 
     Rows are taken by a hash of doc_id and text, the least first, so every part of the table
-    can give some and the same table gives the same rows; rows without doc_id or letters are
-    not in the sample, nor are texts of over SAMPLE_CHARS characters. A language's texts end
+    can give some and the same table gives the same rows, and texts with copies come once
+    before any copy fills up; rows without doc_id or letters are not in the sample, nor are
+    texts of over SAMPLE_CHARS characters. A language's texts end
     at LANGUAGE_CHARS in all (less where many languages share TOTAL_CHARS). Languages beyond
     LANGUAGES raise an error.
     """
@@ -294,7 +295,8 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[s
     share = {r["lang"]: min(1 << 30, int((1 << 30) * 2.0 * (per_language + 50) / r["count"])) for r in sizes}
     limit = F.element_at(F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))]), F.col("lang"))
     chosen = known.where((size <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw).where(F.col("draw") < limit)
-    of_language = Window.partitionBy("lang").orderBy("draw", "text")
+    chosen = chosen.withColumn("copy", F.row_number().over(Window.partitionBy("lang", "text").orderBy("draw")))
+    of_language = Window.partitionBy("lang").orderBy("copy", "draw", "text")
     chosen = chosen.withColumn("place", F.row_number().over(of_language)).where(F.col("place") <= per_language)
     chosen = chosen.withColumn("upto", F.sum(size).over(of_language.rowsBetween(Window.unboundedPreceding, 0)))
     rows = chosen.where(F.col("upto") <= min(LANGUAGE_CHARS, TOTAL_CHARS // len(sizes))).select("lang", "text", "place").collect()
