@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, sharding, token_files, url_rules
+from tidewater.llm import decontamination, fingerprints, html_text, language, line_dedup, mixing, near_dedup, secrets, sharding, source_divergence, token_files, url_rules, whitening
 from tidewater.llm.storage import shared_dir, table
 from tidewater.plans.session import prepare
 
@@ -54,9 +54,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(prepare(spark), sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    store = line_dedup.LineStore.empty(spark).insert(docs)
+    return line_dedup.digest_columns(store.apply(docs))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_language, op2_fingerprints, op3_main_text, op4_secrets, op5_token_files, op6_decontamination, op7_sharding, op8_near_dedup, op9_mixing, op10_url_rules,
+        op11_line_dedup, op12_source_divergence, op13_whitening,
     )}
 
 
@@ -114,6 +129,32 @@ select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/
   when regexp_matches(host, '(^|[^a-z0-9])(spam|cheap-pills|casino|porn|xxx|warez|malware|phishing)($|[^a-z0-9])') then 'block' else 'allow' end as verdict from r
 """
 
+_OP11 = r"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+k as (select r, doc_id, lines, list_transform(lines, lambda x: translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as keys from d),
+e as (select r, unnest(list_distinct(keys)) as x from k),
+c as (select coalesce(list(x), []) as common from (select x from e where x <> '' group by 1 having count(*) >= 10)),
+f as (select doc_id, len(lines)::bigint as n_lines, list_filter(lines, lambda x, i: not list_contains(common, keys[i])) as stay from k cross join c)
+select doc_id, n_lines, n_lines - len(stay)::bigint as n_dropped, sha256(coalesce(array_to_string(stay, chr(10)), '')) as kept_sha256 from f
+"""
+
+_OP12 = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select lang, source, term, sum(n)::bigint as n, count(*) as docs from (select lang, source, r, term, count(*) as n
+  from (select lang, source, r, unnest(w) as term from (select *, row_number() over () as r from d)) group by all) group by all),
+k as (select lang, term, sum(n)::bigint as n from t group by all having sum(docs) >= 30),
+l as (select lang, count(*) as v, sum(n)::bigint as total from k group by all),
+g as (select lang, source, coalesce(total, 0) as total from (select distinct lang, source from d) left join (select lang, source, sum(t.n)::bigint as total from t join k using (lang, term) group by all) using (lang, source)),
+s as (select g.lang, g.source, k.term, coalesce(t.n, 0) as n, 1 + ((1000000000::hugeint * (coalesce(t.n, 0) + 5)) // (g.total + 5 * l.v))::bigint as p, 1 + ((1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v))::bigint as q
+  from g join k on k.lang = g.lang join l on l.lang = g.lang left join t on t.lang = g.lang and t.source = g.source and t.term = k.term),
+m as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(m.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join m on m.lang = a.lang and m.source = a.source and m.item = b.source),
+term as (select lang, source, 'term' as part, term as item, p - q as value from s where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::int as rank from (from pair union all from term)
+qualify part = 'pair' or rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_dedup": _OP8, "op9_mixing": _OP9, "op10_url_rules": _OP10}
+    return {"op11_line_dedup": _OP11, "op12_source_divergence": _OP12, "op8_near_dedup": _OP8, "op9_mixing": _OP9, "op10_url_rules": _OP10}
