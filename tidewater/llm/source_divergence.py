@@ -102,7 +102,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     own = [heads[heads["block"] == b] for b in blocks]
     left, right = own[0], own[-1]
     if not len(left) or not len(right):  # a block to which no source was dealt
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+        return pd.DataFrame(np.empty((0, 4), object), columns=["lang", "source", "item", "value"])
     at = {(b, s): i for part in own for i, (b, s) in enumerate(zip(part["block"], part["seat"], strict=True))}
     terms, width = int(heads["terms"].iloc[0]), int(heads["width"].iloc[0])
 
