@@ -38,7 +38,7 @@ def agg1_facet_counts(t):
 
 
 def _load() -> None:
-    from tidewater.plans import draft_queries, record_queries, relational_queries, service_queries, text_queries  # noqa: F401  register their queries
+    from tidewater.plans import draft_queries, listing_queries, record_queries, relational_queries, service_queries, text_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

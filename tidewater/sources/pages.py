@@ -6,6 +6,7 @@ Fetching, rendering and PDF text are left to the crawler; its results are the in
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
@@ -37,6 +38,8 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.meta = None
         self._texts: list[str] = []
+        self._sizes: list[int] = []
+        self._signs: list[int] = []  # how many characters other than white space come before each text
         self._names: list[tuple[str, dict]] = []
         self._runs: list[list[int]] = []
         self._block: list[int] = []  # the nearest anchor block around each element, -1 if there is none
@@ -49,6 +52,8 @@ class _Parser(HTMLParser):
         attributes = {k: v or "" for k, v in attrs}
         if tag == "meta" and self.meta is None and (attributes.get("name") == "description" or attributes.get("property") == "og:description"):
             self.meta = attributes.get("content", "")
+        if tag == "a" and self._opened["a"]:  # a new anchor ends one that was left open
+            self.handle_endtag("a")
         if tag in _VOID:
             return
         above = self._open[-1] if self._open else -1
@@ -73,14 +78,27 @@ class _Parser(HTMLParser):
                 pass
 
     def handle_data(self, data):
-        if not self._gone:
-            self._texts.append(data)
+        if self._gone:
+            return
+        if self._texts and data.isspace() and self._texts[-1].isspace():  # one blank is as good as many
+            self._sizes[-1] += len(data)
+            return
+        self._texts.append(data)
+        self._sizes.append(len(data))
 
     def _text_of(self, n: int) -> str:
         if n not in self._known:
             self._known[n] = _clean("".join(self._texts[slice(*self._runs[n])]))
         return self._known[n]
 
+    def _begin_of(self, n: int, most: int) -> str:
+        """The first characters of an element's cleaned text; reads no more of the page than they take."""
+        if len(self._signs) <= len(self._texts):
+            self._signs = [0, *accumulate(len("".join(t.split())) for t in self._texts)]
+        begin, end = self._runs[n]
+        enough = bisect_left(self._signs, self._signs[begin] + most + 1, begin, end + 1)
+        return _clean("".join(self._texts[begin : min(end, enough)]))[:most]
+
     def result(self) -> dict:
         while self._open:
             self._close()
@@ -93,7 +111,7 @@ class _Parser(HTMLParser):
         for n in by_tag.get("a", []):
             if "href" in self._names[n][1]:
                 above = self._block[n] if self._runs[n][0] < self._runs[n][1] else -1
-                links.append({"text": self._text_of(n), "href": self._names[n][1]["href"], "context": self._text_of(above)[:400] if above >= 0 else ""})
+                links.append({"text": self._text_of(n), "href": self._names[n][1]["href"], "context": self._begin_of(above, 400) if above >= 0 else ""})
         scope = None
         for test in (
             lambda t, a: t == "main", lambda t, a: t == "article", lambda t, a: a.get("role") == "main", lambda t, a: a.get("id") == "main-content",
