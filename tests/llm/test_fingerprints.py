@@ -73,3 +73,21 @@ def test_odd_rows(spark, odd_docs):
     single = P.edited_pairs(spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")).collect()
     assert len(single) == 1 and single[0]["near_next"] == 1.0
     assert np.isfinite(single[0]["near_edited"])
+
+
+def test_likeness_of_short_texts():
+    """Unrelated texts of few words are unlike, equal ones alike; others come near their true similarity."""
+    texts = [f"u{i} v{i} w{i}" for i in range(300)]
+    fp = P.fingerprints(pa.array(texts))
+    assert max(P.likeness(fp[:-1], fp[1:])) < 0.3 and P.likeness(fp, fp).min() == 1
+    worst = []
+    for n in (1, 2, 3, 5, 6, 7, 8, 10, 15, 30, 100, 500, 2000):
+        for kept in (0.0, 0.5, 0.9, 1.0):
+            for seed in range(10):
+                base = [f"a{seed}x{i}" for i in range(n)]
+                other = base[: int(n * kept)] + [f"b{seed}x{i}" for i in range(n - int(n * kept))]
+                sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (base, other)]
+                true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+                one, two = P.fingerprints(pa.array([" ".join(base), " ".join(other)]))
+                worst.append(abs(P.likeness([one], [two])[0] - true))
+    assert max(worst) < 0.35 and sum(worst) / len(worst) < 0.03

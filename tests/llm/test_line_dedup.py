@@ -63,6 +63,7 @@ def test_a_full_filter_says_so():
 
 def test_inserts_and_deletes_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_KEYS", 64)  # several shards
+    monkeypatch.setattr(L, "LEAST_SHARDS", 2)
     first, second = corpus(1, 120), [(i + 1000, t) for i, t in corpus(2, 120)]
     one, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (first, second))
     a = L.LineStore.empty(spark).insert(one)
@@ -91,6 +92,7 @@ def test_a_filter_is_updated_in_place(spark):
 
 def test_filters_dealt_by_shard_answer_alike(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_KEYS", 50)
+    monkeypatch.setattr(L, "LEAST_SHARDS", 1)
     docs = spark.createDataFrame(corpus(3, 150) + [(None, None), (7, "x"), (7, "x")], "doc_id long, text string").repartition(3)
     store = L.LineStore.empty(spark).insert(docs)
     whole = sorted(map(tuple, store.apply(docs).collect()), key=str)

@@ -14,13 +14,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder, by name, as tables or as streams of their files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def stream(self, name: str) -> DataFrame:
+        return self.spark.readStream.schema(self(name).schema).parquet(f"{self.sf_dir}/{name}.parquet*")  # a pattern, since a stream's path itself has to be a folder
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if SQL can express it."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         run.__doc__, run.__name__ = f.__doc__, f.__name__
         _QUERIES[f.__name__] = run
@@ -38,7 +51,7 @@ def agg1_facet_counts(t):
 
 
 def _load() -> None:
-    from tidewater.plans import draft_queries, listing_queries, record_queries, relational_queries, service_queries, text_queries  # noqa: F401  register their queries
+    from tidewater.plans import draft_queries, listing_queries, record_queries, relational_queries, service_queries, stream_queries, text_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
