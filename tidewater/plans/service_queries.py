@@ -14,8 +14,9 @@ from tidewater.functions import extract as X
 from tidewater.functions import places as P
 from tidewater.functions.patterns import spread
 from tidewater.functions.text import sentences
-from tidewater.operators import filters, lifecycle, work
+from tidewater.operators import filters, lifecycle, text_index, work
 from tidewater.plans.catalog import query
+from tidewater.plans.session import scratch
 from tidewater.sources import pages as S
 from tidewater.sources import sheets as H
 
@@ -189,3 +190,12 @@ def src11_src12_institutions(t):
     payloads = n.where("n_nationkey % 2 = 0").select(F.to_json(F.array(named)).alias("body"))
     links = n.select(F.concat("n_name", F.lit(" link")).alias("text"), F.concat(F.lit("http://"), domain, F.lit("/about?x=1")).alias("href"))
     return S.institutions(seeds, payloads, links).select("domain", "name", "source")
+
+
+@query(r"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*') as w from documents)
+select doc_id from w where len(list_filter(w, lambda x: regexp_matches(x, '^(hehe(s|es|ed|ing|ly|edly|ingly)?|rewhe?(s|d|ed|ing|ly|edly|ingly)?)$'))) > 0
+  and contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') and len(list_filter(w, lambda x: regexp_matches(x, '^thatine?(s|d|ed|ing|er|ly|edly|ingly)?$'))) = 0""")
+def flt10_indexed_search(t):
+    """Words whatever their endings, a phrase and a banned word, answered from an inverted index of whole texts."""
+    index = text_index.TextIndex.write(t("documents"), "doc_id", ["text"], scratch(t.spark, "text-index"))
+    return index.search('the hehes rewhing "of the" -thatines').withColumnRenamed("id", "doc_id")
