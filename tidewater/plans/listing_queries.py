@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidewater.functions import notices as N
+from tidewater.functions import text as T
 from tidewater.plans.catalog import query
+from tidewater.sources import crawl_rules as R
 from tidewater.sources import listings as L
+from tidewater.sources import pages as S
 
 c = F.col
 NOW = datetime(2026, 4, 1)
@@ -113,3 +116,53 @@ def cls4_tender_links(t):
     pick = lambda of, n: F.element_at(F.array(*(F.lit(x) for x, _ in of)), (F.pmod(F.floor(c("o_orderkey") / n), F.lit(len(of))) + 1).cast("int"))
     v = N.tender_link(pick(_NOTICES, 1), F.concat(F.lit("https://a.ke/"), pick(_PLACES, len(_NOTICES))), F.lit(""))
     return t("orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.type", "v.score")
+
+
+#: JSON-LD of a page, put together in words that Spark and DuckDB share: graphs, lists of types, nested values, a string that looks like a key, a type that is an object, broken JSON.
+_LINKED = """'<head><script type="application/ld+json">{"@graph": [{"@type": "Kind' || (page_id % 5) || '", "name": "says \\\\"@type\\\\": \\\\"No\\\\""}, {"in": {"deep": [{"x": 1, "@type": ["List' || (page_id % 3) || '", "Deep"]}]}}]' || (case when page_id % 4 = 0 then ',' else '' end)
+  || (case when page_id % 4 = 1 then ', "@type": {"@id": "x", "@type": "Inner"}' else '' end) || '}</script><SCRIPT type=''application/ld+json''>[{"@type": "Second"}, {"a": {"@type": null}}]</SCRIPT></head>' || html"""
+
+
+@query(f"""select page_id, array_to_string(list_sort((case when page_id % 4 = 0 then ['Second'] else ['Second', 'Deep', 'Kind' || (page_id % 5), 'List' || (page_id % 3)] end) || (case when page_id % 4 = 1 then ['Inner'] else [] end)), ',') as types,
+  {_LINKED.replace(chr(92) * 2, chr(92))} like '%ld+json%' as has from pages""")
+def jsn2_page_types(t):
+    """Types at any depth of the JSON-LD of whole pages."""
+    html = F.expr(_LINKED)
+    return t("pages").select("page_id", F.array_join(S.page_types(html), ",").alias("types"), html.contains("ld+json").alias("has"))
+
+
+_ROBOTS = """case length(host) % 4 when 0 then concat('User-agent: *', chr(10), 'Disallow: /de/', chr(10), 'Allow: /de/1', chr(10), 'Crawl-delay: 2')
+  when 1 then concat('Disallow: /', chr(10), 'user-agent: other', chr(10), 'User-Agent: TestBot # us', chr(13), chr(10), 'Disallow: /*page=', chr(10), 'Disallow: /fr/*5$', chr(10), 'Disallow:', chr(10), 'Crawl-delay: 99', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow: /')
+  when 2 then concat('User-agent: bingbot', chr(10), 'Disallow: /') end"""
+
+
+@query(r"""with p as (select page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) as host, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) as path from pages)
+select page_id, case length(host) % 4 when 0 then not path like '/de/%' or path like '/de/1%' when 1 then not (path like '%page=%' or regexp_matches(path, '^/fr/.*5$')) else true end as allowed,
+  case length(host) % 4 when 0 then 2000 when 1 then 60000 end::bigint as delay_ms from p""")
+def src14_robots_of_hosts(t):
+    """Many hosts' rules, parsed on the executors: groups, agents, wildcards, ends, delays, hosts without rules."""
+    hosts = t("pages").select(F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1)).alias("host")).distinct()
+    verdicts = R.robots_verdicts(t("pages"), hosts.select("host", F.expr(_ROBOTS).alias("body")), "TestBot")
+    return t("pages").select("page_id", "url").join(verdicts, "url").select("page_id", "allowed", "delay_ms")
+
+
+_SHELL = """concat(case page_id % 6 when 0 then '<div class="a" id=''root''> </div>' when 1 then '<script>window.__NUXT_DATA__' when 2 then '<script>window.__INITIAL_STATE__ =' when 3 then '<noscript>Please enable  JavaScript now' else '' end, case when page_id % 7 = 0 then null when page_id % 7 = 1 then '' else html end)"""
+_READ = "substring(html, 1, cast(case when page_id % 7 = 0 then 0 else page_id * 37 % 1100 end as int))"
+
+
+@query(f"""with p as (select page_id, case when page_id % 7 = 0 then '' else {_SHELL.replace('concat(', 'concat(', 1)} end as source, length({_READ}) as size from pages)
+select page_id, source = '' or (size <= 900 and (regexp_matches(source, '(?i)<div[^>]+id=["''](root|app|__next|__nuxt)["''][^>]*>\\s*</div>') or source like '%window.__INITIAL_STATE__%'
+  or regexp_matches(source, '(?i)<noscript>[^<]*(enable\\s+javascript|requires\\s+javascript)') or (length(source) > 6000 and size / length(source) < 0.03) or size < 250)) as render from p""")
+def src5_render_gate(t):
+    """Pages with and without shells, with more and less text."""
+    html = F.when(c("page_id") % 7 != 0, F.expr(_SHELL))
+    return t("pages").select("page_id", S.needs_render(html, F.expr(_READ)).alias("render"))
+
+
+@query(r"""with p as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '\s+', ' ', 'g')) as x from pages),
+  s as (select page_id, x, case when length(x) > 4000 then length(x) // 3 else 0 end as start from p), f as (select *, strpos(substr(x, start + 1), '. ') as stop from s),
+  g as (select page_id, trim(substr(x, case when start > 0 and stop > 0 and stop - 1 < 600 then start + stop + 2 else start + 1 end, 1200)) as y from f)
+select page_id, case when regexp_matches(y, '^\s*[\[{]|(?i)"(?:widget|url|externalSpa|props|__)":') or length(regexp_replace(y, '[^A-Za-z]', '', 'g')) < 0.55 * length(y) then '' else y end as snippet from g""")
+def txt17_snippets(t):
+    """Prose from the middle of whole pages."""
+    return t("pages").select("page_id", T.snippet(c("html")).alias("snippet"))

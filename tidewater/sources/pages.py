@@ -188,14 +188,49 @@ def embedded_titles(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'"title"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
 
 
+def structured_data(html: Column) -> Column:
+    """array<string>: the bodies of a page's JSON-LD scripts."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"), F.lit(1))
+
+
+def json_types(body: Column) -> Column:
+    """array<string>: the distinct values of "@type" keys at any depth of a JSON text, sorted; empty for broken JSON.
+
+    The parsed value, written out again, is cut into its strings and signs, so that what looks
+    like a key inside of a string is no key, however deep the value is; a list of types gives
+    each of them.
+    """
+    plain = F.to_json(F.try_parse_json(body))
+    parts = F.coalesce(F.regexp_extract_all(plain, F.lit(r'("(?:[^"\\]|\\.)*"|[\[\]{}:,]|[^"\[\]{}:,\s]+)'), F.lit(1)), F.array().cast("array<string>"))
+
+    def cut(parts: Column) -> Column:
+        at = lambda i: F.try_element_at(parts, i + 1)
+        keys = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: (at(i) == '"@type"') & (at(i + 1) == ":"))
+
+        def told(i: Column) -> Column:
+            rest = F.slice(parts, i + 4, F.size(parts))
+            listed = F.filter(F.slice(rest, 1, F.greatest(F.array_position(rest, F.lit("]")).cast("int") - 1, F.lit(0))), lambda x: x != ",")
+            return F.when(at(i + 2) == "[", listed).when(at(i + 2) == "{", F.array().cast("array<string>")).otherwise(F.array(at(i + 2)))
+
+        strings = F.filter(F.flatten(F.transform(keys, told)), lambda x: x.startswith('"') & (x != '""'))
+        return F.transform(strings, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
+
+    return F.array_sort(F.array_distinct(F.transform(F.array(parts), cut)[0]))
+
+
+def page_types(html: Column) -> Column:
+    """The distinct types of all JSON-LD of a page, sorted; broken scripts are left out."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(structured_data(html), json_types))))
+
+
 def first_link(links: Column, pattern: str) -> Column:
     """The first link whose text or address matches."""
     return F.try_element_at(F.filter(links, lambda x: x["text"].rlike(pattern) | x["href"].rlike(pattern)), F.lit(1))["href"]
 
 
-def robots_rules(agent: str, body: str) -> list[tuple[bool, str]]:
-    """(allow, path pattern) of the group of a robots.txt that names the agent, else of the * group."""
-    groups: list[tuple[list[str], list[tuple[bool, str]]]] = []
+def robots_groups(agent: str, body: str) -> tuple[list[tuple[bool, str]], float | None]:
+    """((allow, path pattern), crawl delay in seconds) of the group of a robots.txt that names the agent, else of the * group."""
+    groups: list[tuple[list[str], list[tuple[bool, str]], list[float]]] = []
     naming = False
     for line in body.splitlines():
         field, colon, value = (x.strip() for x in line.split("#")[0].partition(":"))
@@ -203,15 +238,22 @@ def robots_rules(agent: str, body: str) -> list[tuple[bool, str]]:
             continue
         if field.lower() == "user-agent":
             if not naming:
-                groups.append(([], []))
+                groups.append(([], [], []))
             groups[-1][0].append(value.lower())
             naming = True
-        else:
-            naming = False
-            if groups and field.lower() in ("allow", "disallow") and value:
-                groups[-1][1].append((field.lower() == "allow", value))
-    own = next((r for names, r in groups if any(n != "*" and n in agent.lower() for n in names)), None)
-    return own if own is not None else next((r for names, r in groups if "*" in names), [])
+            continue
+        naming = False
+        if groups and field.lower() in ("allow", "disallow") and value:
+            groups[-1][1].append((field.lower() == "allow", value))
+        elif groups and field.lower() == "crawl-delay" and re.fullmatch(r"\d+(?:\.\d+)?", value):
+            groups[-1][2].append(float(value))
+    own = next((g for g in groups if any(n != "*" and n in agent.lower() for n in g[0])), None) or next((g for g in groups if "*" in g[0]), ([], [], []))
+    return own[1], own[2][-1] if own[2] else None
+
+
+def robots_rules(agent: str, body: str) -> list[tuple[bool, str]]:
+    """(allow, path pattern) of the agent's group."""
+    return robots_groups(agent, body)[0]
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
