@@ -42,6 +42,7 @@ MIN_DOCS = 10
 SLOTS = 4
 #: Keys of one shard; a store whose shards grow to twice as many is dealt out anew.
 SHARD_KEYS = 1 << 15
+LEAST_SHARDS = 64
 #: Filters of this size in all are sent to every task.
 FILTER_BYTES = 64 << 20
 #: Tasks that share the lines of one shard, if the filters are larger.
@@ -242,7 +243,7 @@ class LineStore:
             raise ValueError("documents can only be deleted as often as they were inserted")
         shards, filters = self.shards, self.filters
         if not shards or told["keys"] > 2 * SHARD_KEYS * shards:
-            shards, filters = max(1, -(-told["keys"] // SHARD_KEYS)), self.spark.createDataFrame([], _FILTER_SCHEMA)
+            shards, filters = max(LEAST_SHARDS, -(-told["keys"] // SHARD_KEYS)), self.spark.createDataFrame([], _FILTER_SCHEMA)
             changed = changed.withColumn("old", F.lit(0).cast("long"))
         return LineStore(self.spark, self.min_docs, shards, changed.where("n > 0").select("h1", "h2", "n"), materialise(self._filters(changed, filters, shards), "line-filters"))
 
