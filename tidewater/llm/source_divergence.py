@@ -37,6 +37,8 @@ MIN_DOCS, TOP = 30, 50
 SCALE, PRIOR = 1_000_000_000, 5
 #: Sources of a block, terms of a chunk, chunks of a task: about so many each.
 BLOCK, CHUNK, RANGE = 32, 1024, 16
+#: Parts of a language's terms, for joins by language; a language has as many chunks at least.
+SALTS = 16
 #: Entries that a task counts before it hands them on.
 _HELD = 1 << 19
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -141,11 +143,15 @@ class Audit:
         words = counts.where(F.col("term").isNotNull())
         kept = materialise(words.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
         langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-        chunked = kept.join(langs.select("lang", "terms"), "lang").withColumn("chunk", F.expr(f"cast(pmod(xxhash64(term), ceil(terms / {chunk})) as int)"))
-        in_chunk = Window.partitionBy("lang", "chunk").orderBy("term")
+        # a language may hold most terms: they meet its size, and are numbered, in SALTS parts
+        parts = F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("part")
+        salted = kept.withColumn("part", F.expr(f"cast(pmod(xxhash64(term), {SALTS}) as int)")).join(langs.select("lang", "terms", parts), ["lang", "part"])
+        own = F.expr(f"cast(pmod(xxhash64(term, 1), ceil(terms / {chunk * SALTS})) as int)")
+        chunked = salted.withColumn("chunk", own * SALTS + F.col("part"))
+        in_chunk = Window.partitionBy("lang", "part", "chunk").orderBy("term")
         numbered = chunked.select("lang", "term", "lang_n", "chunk", (F.row_number().over(in_chunk) - 1).alias("place"))
         self.counts = materialise(words.drop("docs").join(numbered, ["lang", "term"]), "kept-counts")
-        widths = chunked.groupBy("lang", F.floor(F.col("chunk") / span).alias("range")).agg(F.count(F.lit(1)).alias("width"))
+        widths = chunked.groupBy("lang", "part", F.floor(F.col("chunk") / span).alias("range")).agg(F.count(F.lit(1)).alias("width")).groupBy("lang", "range").agg(F.sum("width").alias("width"))
         self.widths = widths
         groups = counts.where(F.col("term").isNull()).select("lang", "source")
         totals = self.counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
