@@ -3,7 +3,9 @@
 A text's distinct 5-word shingles are hashed once; the top bits name one of BINS bins,
 which keeps its least hash. An empty bin copies the first occupied bin of its own
 random probe order (optimal densification: every occupied bin is equally likely, and
-independently for each empty bin). Only the low BITS bits of each bin are kept; of two
+independently for each empty bin). Only the low BITS bits of each bin are kept, hashed
+with the bin's own constant, so that texts of few shingles, whose bins share few minima,
+agree by chance in each bin for itself and not in all bins at once; of two
 fingerprints with agreement m the likeness is (m - 2**-BITS) / (1 - 2**-BITS), not below 0,
 since that many bins agree by chance.
 """
@@ -31,6 +33,7 @@ _rng = np.random.Generator(np.random.PCG64(512))
 _ORDER = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int64)  # row: a bin's probe order
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int32)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BIN_VALUES = _rng.integers(0, 1 << 63, BINS, dtype=np.uint64)
 
 
 def bins_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -61,7 +64,7 @@ def bins_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def pack(table: np.ndarray) -> list[str]:
     """Hexadecimal fingerprints; an empty string for a text without shingles."""
-    low = (words.mix(table) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    low = (words.mix(table ^ _BIN_VALUES) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     packed = (low[:, 0::2] << BITS) | low[:, 1::2]
     return ["" if empty else row.tobytes().hex() for row, empty in zip(packed, table[:, 0] == _EMPTY, strict=True)]
 
