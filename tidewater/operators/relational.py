@@ -74,21 +74,29 @@ def metered(views: DataFrame, reader: str, item: str, at: str, free: int) -> Dat
 def title_pairs(df: DataFrame, block: Sequence[str], key: str, tokens: str, least: float = 0.82) -> DataFrame:
     """(a, b, similarity): pairs a < b within a block whose token sets have at least this Jaccard similarity.
 
-    Pairs come from a shared token among the rarest of a set, as many as a pair needs to
-    share at least one (prefix filtering), so a block is not multiplied with itself.
+    Equal sets are one set until the end, so a set that many rows share is compared once; only
+    the pairs of the result are written out. Sets meet by a token among the rarest of each, as
+    many as a pair needs to share at least one (prefix filtering), and only where sizes and
+    the places of that token in both sets still leave room for enough shared tokens. Rows
+    without tokens or with a null key are in no pair; repeated keys pair with themselves never.
     """
-    sets = df.select(*block, F.col(key).alias("_id"), F.array_distinct(tokens).alias("_set")).where(F.size("_set") > 0)
-    each = sets.select(*block, "_id", F.explode("_set").alias("_t"))
+    sets = df.select(*block, F.col(key).alias("_id"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("_set")).where((F.size("_set") > 0) & F.col("_id").isNotNull())
+    distinct = sets.select(*block, "_set").distinct()
+    each = distinct.select(*block, "_set", F.explode("_set").alias("_t"))
     seen = each.groupBy(*block, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = each.join(seen, [*block, "_t"]).groupBy(*block, "_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_r"))
+    ranked = each.join(seen, [*block, "_t"]).groupBy(*block, "_set").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_r"))
     size = F.size("_r")
-    short = ranked.select(*block, "_id", F.explode(F.slice("_r", 1, (size - F.ceil(size * F.lit(least)) + 1).cast("int"))).alias("_e"))
-    keys = short.select(*block, "_id", F.col("_e._t").alias("_t"))
-    left = keys.withColumnRenamed("_id", "a")
-    right = keys.withColumnRenamed("_id", "b")
-    pairs = left.join(right, [*block, "_t"]).where("a < b").select(*block, "a", "b").distinct()
-    pairs = pairs.join(sets.withColumnsRenamed({"_id": "a", "_set": "_x"}), [*block, "a"]).join(sets.withColumnsRenamed({"_id": "b", "_set": "_y"}), [*block, "b"])
-    return pairs.withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).where(F.col("similarity") >= least).select(*block, "a", "b", "similarity")
+    short = ranked.select(*block, "_set", size.alias("_k"), F.posexplode(F.slice("_r", 1, (size - F.ceil(size * F.lit(least)) + 1).cast("int"))).alias("_p", "_e"))
+    keys = short.select(*block, "_set", "_k", "_p", F.col("_e._t").alias("_t"))
+    one, other = (keys.withColumnsRenamed({"_set": f"_{x}", "_k": f"_k{x}", "_p": f"_p{x}"}) for x in "xy")
+    room = F.least(F.col("_kx") - F.col("_px"), F.col("_ky") - F.col("_py"))
+    enough = (F.least("_kx", "_ky") >= F.greatest("_kx", "_ky") * F.lit(least)) & (room >= (F.col("_kx") + F.col("_ky")) * F.lit(least / (1 + least)) - 1e-9)
+    near = one.join(other, [*block, "_t"]).where((F.col("_x") < F.col("_y")) & enough).select(*block, "_x", "_y").distinct()
+    near = near.withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).where(F.col("similarity") >= least)
+    same = distinct.select(*block, F.col("_set").alias("_x"), F.col("_set").alias("_y"), F.lit(1.0).alias("similarity"))
+    rows = near.unionByName(same).join(sets.withColumnsRenamed({"_id": "_a", "_set": "_x"}), [*block, "_x"]).join(sets.withColumnsRenamed({"_id": "_b", "_set": "_y"}), [*block, "_y"])
+    rows = rows.where((F.col("_a") != F.col("_b")) & ((F.col("_x") != F.col("_y")) | (F.col("_a") < F.col("_b"))))
+    return rows.select(*block, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "similarity").distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -202,7 +202,7 @@ def jn11_region_membership(t):
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 0))"
 
 
-@query(f"""with k as (select p_partkey, p_brand, {_TOK} as s from part where p_partkey <= 100000), p as (select a.p_brand, a.p_partkey as a, b.p_partkey as b,
+@query(f"""with k as (select p_partkey, p_brand, {_TOK} as s from part), p as (select a.p_brand, a.p_partkey as a, b.p_partkey as b,
   len(list_intersect(a.s, b.s)) as i, len(a.s) as x, len(b.s) as y from k a join k b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
   select p_brand, a, b, round(i / (x + y - i), 6) as similarity from p where i > 0 and i / (x + y - i) >= 0.82""")
 def jn12_title_pairs(t):

@@ -199,3 +199,13 @@ def flt10_indexed_search(t):
     """Words whatever their endings, a phrase and a banned word, answered from an inverted index of whole texts."""
     index = text_index.TextIndex.write(t("documents"), "doc_id", ["text"], scratch(t.spark, "text-index"))
     return index.search('the hehes rewhing "of the" -thatines').withColumnRenamed("id", "doc_id")
+
+
+@query("""with s as (select 's' || (s_suppkey // 2) || '.edu' as domain, s_name as name, (['KE', 'GB', 'DE', null, null, 'SI', 'RU', 'KE'])[(s_suppkey % 8 + 1)::int] as code, ([100, 99, 92, 0, 0, 1, 1, 100])[(s_suppkey % 8 + 1)::int] as priority from supplier),
+  o as (select * from s where priority > 0 qualify row_number() over (partition by domain order by priority desc, code, name) = 1)
+select domain, name, code as country, priority::int as priority, (row_number() over (partition by code order by domain))::int as turn from o""")
+def src12_rollout(t):
+    """Institutions in the order of the country rollout, from codes, names and unknown countries, with domains that are listed twice."""
+    told = F.element_at(F.array(*map(F.lit, ("KE", "gb", "Germany", "Atlantis", None, "si", " RU", "Kenya"))), (c("s_suppkey") % 8 + 1).cast("int"))
+    rows = t("supplier").select(F.concat(F.lit("s"), F.floor(c("s_suppkey") / 2), F.lit(".edu")).alias("domain"), c("s_name").alias("name"), told.alias("country"))
+    return S.rollout(rows).select("domain", "name", c("countryCode").alias("country"), "priority", "turn")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.places import country_code, rollout_priorities, rollout_priority
 from tidewater.functions.text import clean_text
 from tidewater.functions.urls import canonical_url, normal_domain, resolve_url
 
@@ -292,6 +293,26 @@ def institutions(seeds: DataFrame, payloads: DataFrame, links: DataFrame) -> Dat
     return best.select("domain", "b.name", F.concat(F.lit("https://"), "domain").alias("website"), "b.country", "b.source")
 
 
+def rollout(institutions: DataFrame, countries: int | None = None) -> DataFrame:
+    """institutions (domain, name, country, ...) in countries that are rolled out, with countryCode, priority and turn.
+
+    country is a code, or a name of the table of countries; others are not rolled out.
+
+    turn counts the institutions of a country in order of their domains, so that a crawl takes
+    the first of every country before the second of any. countries: only so many, by priority.
+    A domain that is there twice counts once, for the country of the higher priority.
+    """
+    own = F.upper(F.trim("country"))
+    code = F.coalesce(country_code(F.col("country")), F.when(rollout_priority(own) > 0, own))
+    coded = institutions.withColumn("countryCode", code).withColumn("priority", rollout_priority(F.col("countryCode"))).where(F.col("priority") > 0)
+    if countries is not None:
+        floor = sorted(rollout_priorities().values(), reverse=True)[: max(countries, 1)][-1]
+        coded = coded.where(F.col("priority") >= floor)
+    once = Window.partitionBy("domain").orderBy(F.desc("priority"), "countryCode", "name")
+    coded = coded.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    return coded.withColumn("turn", F.row_number().over(Window.partitionBy("countryCode").orderBy("domain")))
+
+
 def seed_dimension(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(name, domain, country): institutions to begin with, given by the caller."""
     return spark.createDataFrame(list(rows), "name string, domain string, country string")
