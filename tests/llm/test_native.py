@@ -157,3 +157,34 @@ def test_rules_without_tokens_are_tried_everywhere(spark):
     rule = U.Rule("dots", r"\.\.", (), "block", 1)
     pages = spark.createDataFrame([(1, "http://a..b/"), (2, "http://a.b/")], "page_id long, url string")
     assert {r["page_id"]: r["rule"] for r in U.judge(pages, rules=[rule], patterns=[]).collect()} == {1: "dots", 2: None}
+
+
+def test_manifest_by_hand(spark):
+    """Every column of the manifest against plain Python: shard, grown shard, sizes, CRCs and slots."""
+    import hashlib
+    import math
+    import zlib
+
+    from tidewater.llm import sharding
+
+    rows = [(i * 7 % 400 if i % 50 else None, None if i % 9 == 0 else "é" * (i % 5) + f"t{i % 30}") for i in range(600)]
+    weights = [1.0, 1.0, 2.5, 0.0, 1.0]
+
+    def drawn(key, weights):
+        costs = []
+        for i, w in enumerate(weights):
+            if w > 0:
+                u = (int(hashlib.md5(f"{key}#{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                costs.append((-math.log(u) / w, i))
+        return min(costs)[1]
+
+    got = sharding.manifest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), weights, rows_per_block=40).collect()
+    assert len(got) == len(rows)
+    slots = {}
+    for r in got:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert r["shard"] == drawn(key, weights) and r["grown_shard"] in (r["shard"], len(weights)) and r["grown_shard"] == drawn(key, [*weights, 1.0])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and 3 not in slots
+    told = sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got)
+    assert told == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
