@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import classify as K
 from tidewater.functions import notices as N
 from tidewater.functions import text as T
 from tidewater.plans.catalog import query
@@ -166,3 +167,35 @@ select page_id, case when regexp_matches(y, '^\s*[\[{]|(?i)"(?:widget|url|extern
 def txt17_snippets(t):
     """Prose from the middle of whole pages."""
     return t("pages").select("page_id", T.snippet(c("html")).alias("snippet"))
+
+
+#: Parts of pages whose combinations are judged; each body part is one kind of evidence.
+_PAGE_TITLES = ("Masters Scholarship 2026", "Prizes for students", "Campus life", "Closed scholarships archive", "Privacy policy")
+_PAGE_URLS = ("https://a.org/x", "https://a.org/scholarships/x", "https://a.org/news/x", "https://a.org/y")
+_EVIDENCE = ("Tuition fees are covered in full.", "Applicants must be citizens of Kenya.", "Submit your application form online to apply.", "The deadline is 1 May 2026.")
+_FILLER = "The campus lies beside a lake and is open all year round for visitors who like long walks. Trees, birds and benches are found there in all seasons, and so are cats."
+_FOCUS = "A scholarship is offered. This scholarship helps. The scholarship is yours."
+
+
+@query("""with k as (select o_orderkey, o_orderkey % 5 as t, o_orderkey // 5 % 4 as u, o_orderkey // 20 % 2 as f, o_orderkey // 40 % 2 as e, o_orderkey // 80 % 2 as a, o_orderkey // 160 % 2 as d, o_orderkey // 320 % 2 as focus,
+    o_orderkey % 3 = 0 as heading, o_orderkey % 4 = 1 as typed, o_orderkey % 7 = 0 as links, o_orderkey % 11 = 0 as short from orders),
+  n as (select *, f + e + a + d as kinds, 0.25::double * (t in (0, 3))::int + 0.12::double * (t = 1)::int + 0.1::double * (u = 1)::int + 0.1::double * heading::int + 0.2::double * f + 0.18::double * e + 0.16::double * a + 0.14::double * d
+    + 0.08::double * typed::int + 0.08::double * focus as raw from k),
+  w as (select *, greatest(0, least(1, case kinds when 0 then least(raw, 0.2::double) when 1 then raw - 0.08::double else raw end)) as score, links and kinds <= 2 and focus = 0 as hub,
+    case when short then 0 when u = 2 or t = 4 or (t = 2 and not heading and focus = 0) then 0 when t = 3 then 0.1::double end as out from n)
+select o_orderkey, out is null and score >= 0.55 and not hub as is_award, round(coalesce(out, score), 3)::double as score, out is null and hub as is_hub, f = 1 and not short as funding from w""")
+def cls2_award_pages(t):
+    """The page rules over combinations of titles, addresses, headings, evidence, links and types out of JSON-LD."""
+    k = c("o_orderkey")
+    bit = lambda n: F.floor(k / n) % 2 == 1
+    pick = lambda of, n: F.element_at(F.array(*map(F.lit, of)), (F.floor(k / n) % len(of) + 1).cast("int"))
+    parts = [F.when(bit(20 * 2**i), F.lit(p)) for i, p in enumerate((*_EVIDENCE, _FOCUS))]
+    body = F.when(k % 11 == 0, F.lit("Short.")).otherwise(F.concat_ws(" ", F.lit(_FILLER), *parts))
+    types = S.json_types(F.when(k % 4 == 1, '{"x": [{"@type": "Grant"}]}').otherwise('{"@type": "Person"}'))
+    links = F.when(k % 7 == 0, F.array_repeat(F.lit("Scholarship A"), 6)).otherwise(F.array(F.lit("Home")))
+    pages = t("orders").select(
+        "o_orderkey", pick(_PAGE_URLS, 5).alias("url"), pick(_PAGE_TITLES, 1).alias("title"), F.lit("").alias("meta"), F.array(F.when(k % 3 == 0, "Scholarship guide").otherwise("Guide")).alias("headings"),
+        body.alias("text"), links.alias("link_texts"), types.alias("structured_types"),
+    )
+    v = K.award_pages(pages)
+    return v.select("o_orderkey", c("verdict.is_award").alias("is_award"), c("verdict.score").alias("score"), c("verdict.is_hub").alias("is_hub"), c("verdict.evidence.funding").alias("funding"))
