@@ -132,3 +132,12 @@ def test_digest_and_redaction(spark, odd_docs):
     assert clean == {1: "é [SECRET]' and [SECRET]", 2: None, 3: ""}
     assert {r["Text"] for r in S.redact(rows.withColumnRenamed("text", "Text")).collect()} == set(clean.values())
     assert S.scan(odd_docs).count() == odd_docs.count() and S.scan(odd_docs.limit(0)).count() == 0
+
+
+def test_a_run_of_many_short_pieces_takes_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        S.secret_spans("ab-cd-" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1

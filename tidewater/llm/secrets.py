@@ -95,7 +95,8 @@ def _random_parts(text: str, start: int, end: int, apart: list[tuple[int, int]],
         if first is None or not first[2]:
             continue
         held = 0
-        for last in pieces[i:]:
+        for j in range(i, len(pieces)):  # JOINED characters at most, wherever the run ends
+            last = pieces[j]
             if last is None or last is not first and last[1] - first[0] > JOINED:
                 break
             held += last[1] - last[0]
