@@ -53,11 +53,11 @@ def test_repetitive_texts_take_little_memory():
 
 
 def test_tables_by_brute_force(spark):
-    """Every document against every item: a shared run of 5 tokens, and at least 0.6 of the item covered."""
+    """Every document against every item, without seeds: at least 0.6 of the item's tokens are covered."""
     random.seed(12)
     vocabulary = [f"w{i}" for i in range(60)]
     text = lambda n: random.choices(vocabulary, k=n)
-    items = [(i, text(random.choice([3, 6, 12, 30]))) for i in range(25)]
+    items = [(i, text(random.choice([1, 2, 3, 4, 5, 6, 12, 30]))) for i in range(25)]
     docs = []
     for i in range(120):
         parts = [text(random.randint(0, 40))]
@@ -65,18 +65,49 @@ def test_tables_by_brute_force(spark):
             own = items[random.randrange(25)][1]
             cut = random.randint(0, len(own))
             parts += [own[cut:], text(random.randint(0, 3)), own[:cut], text(random.randint(0, 20))]
+            runs = [own[a : a + 4] for a in range(0, len(own), 4)]  # runs of 4 tokens in another order share no run of 5
+            for run in random.sample(runs, len(runs)):
+                parts += [run, text(1)]
         docs.append((i, [w for p in parts for w in p]))
     want = set()
     for i, doc in docs:
         for j, item in items:
-            grams = lambda x: {tuple(x[a : a + 5]) for a in range(len(x) - 4)}
-            if len(item) >= 5 and grams(doc) & grams(item) and sum(naive_tiles(item, doc, 3)) / len(item) >= 0.6 or item == doc:
+            if 5 * sum(naive_tiles(item, doc, 3)) >= 3 * len(item) or item == doc:
                 want.add((i, j))
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
     found = D.contaminations(table, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) > 20
 
 
+def test_the_least_number_of_shared_positions():
+    """No tiling that covers 0.6 of an item has fewer positions; some tiling has no more (or than one)."""
+    for n in range(3, 60):
+        need = -(-3 * n // 5)
+        fewest = {0: 0}  # by covered tokens, the fewest positions of tiles
+        for covered in range(3, n + 1):
+            fewest[covered] = min((fewest[covered - k] + k - 2 for k in range(3, covered + 1) if covered - k in fewest), default=n)
+        want = min(fewest[c] for c in fewest if c >= need)
+        assert max(1, want - 1) <= D.least_shared(np.int64(n)) <= want
+
+
+def test_short_and_scattered_items(spark):
+    item = [f"t{i}" for i in range(12)]
+    runs = [item[8:], item[4:8], item[:4]]
+    docs = [(1, " ".join(" ".join([*r, "and", "so"]) for r in runs)), (2, "quiz what is bread made today"), (3, "what, is bread"), (4, "bread is what made"), (5, "Two words"), (6, "two words more")]
+    items = [(None, " ".join(item)), (8, "what is bread made"), (9, "two words"), (9, "two words")]
+    got = D.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in got.collect()} == {(1, None, 1.0), (2, 8, 1.0), (3, 8, 0.75), (5, 9, 1.0)} and got.count() == 4
+
+
+def test_common_seeds_do_not_hide_items(spark):
+    """Items that share their opening with all documents are still found by what is left, and documents with the opening alone stay."""
+    opening = "which of the following is true about"
+    items = [(i, f"{opening} {' '.join(f'i{i}w{j}' for j in range(14))}") for i in range(40)]
+    docs = [(i, f"{opening} {' '.join(f'd{i}w{j}' for j in range(30))}") for i in range(200)] + [(1000 + i, f"so {t} end") for i, t in items]
+    got = D.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1000 + i, i) for i in range(40)}
+
+
 def test_whole_reordered_and_clean(spark, odd_docs):
     item = [f"q{i}" for i in range(30)]
     filler = " ".join(f"f{i}" for i in range(200))

@@ -1,32 +1,37 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are lower-cased runs of letters, digits and characters beyond ASCII. Runs of
-SEED tokens that a document shares with a benchmark item make the two a candidate
-pair. For each pair the longest common runs of unmarked tokens are marked again and
+TILE tokens are seeds: tiles that cover COVERAGE of an item's n tokens hold at least
+least_shared(n) positions of it whose seeds the document has too, whatever the order of
+the passages. So a document and an item are a candidate pair if they share one of the
+item's rarest seeds (all but least_shared(n) - 1 positions, the rare ones first), and
+are tiled if they share least_shared(n) positions; no pair that tiling would find is
+lost. For each such pair the longest common runs of unmarked tokens are marked again and
 again, found by running Karp-Rabin at falling search lengths down to TILE tokens, so a
 passage whose sentences were reordered is still covered. A document is contaminated
-by an item if the tiles cover at least COVERAGE of the item's tokens.
+by an item if the tiles cover at least COVERAGE of the item's tokens. Equal texts are
+judged once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import words
 from tidewater.llm.storage import materialise
 
-SEED, TILE, COVERAGE = 5, 3, 0.6
+TILE, COVERAGE = 3, Fraction(3, 5)
 #: The seeds' filter is a bit map of this fixed size; a larger benchmark lets more seeds through to the join, which decides.
 FILTER_BITS = 24
-#: Items that go with a document's text at once; a document that may hold more is sent again for each further so many.
-ITEMS = 1000
+#: Bytes of item texts, about, that go with a document's text at once; a document that may hold more is sent again for each further so many.
+ITEM_BYTES = 8 << 20
 #: Pairs of positions that are looked at together.
 PAIRS = 1 << 20
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
@@ -130,11 +135,28 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = TILE) -> list[tuple[in
         length = max(least, length // 2)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many seeds' positions of an item of n tokens lie inside tiles that cover COVERAGE of it, at least.
+
+    A tile of k >= TILE tokens holds k - TILE + 1 positions, so one for each TILE tokens or more.
+    """
+    tokens = -(-n * COVERAGE.numerator // COVERAGE.denominator)
+    return np.maximum(1, -(-tokens // TILE))
+
+
+_SEEDS = "item string, seed long, n int, least int"
+
+
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An item's distinct seeds with how many of its positions have them; an item below TILE tokens has itself as its only one."""
     for batch in batches:
-        hashes, at = words.shingle_hashes(*tokens(batch.column(1)), SEED)
-        ids = np.repeat(np.arange(batch.num_rows), np.diff(at))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(hashes.view(np.int64))], names=["item_id", "seed"])
+        found, first = tokens(batch.column(1))
+        hashes, at = words.shingle_hashes(found, first, TILE)
+        for i in range(batch.num_rows):
+            own, n = np.unique(hashes[at[i] : at[i + 1]].view(np.int64), return_counts=True)
+            least = np.repeat(least_shared(first[i + 1] - first[i]), len(own))
+            columns = [batch.column(0).take(pa.array(np.full(len(own), i))), pa.array(own), pa.array(n.astype(np.int32)), pa.array(least.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SEEDS.split(", ")])
 
 
 def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,103 +164,137 @@ def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return seed & mask, (seed >> np.uint64(bits)) & mask
 
 
-def _hits(bitmap: np.ndarray, bits: int):
-    """Documents with seeds that may be in the benchmark, with those seeds and a number that is unique to the row."""
+_HITS = "doc_id long, digest binary, seeds array<long>"
+
+
+def _hits(packed: np.ndarray, bits: int):
+    """Documents with seeds that may be in the benchmark: doc_id, the text's MD5 and those seeds, ascending."""
+
+    def held(at: np.ndarray) -> np.ndarray:
+        return (packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, seeds, numbers = [], [], []
-            data, offsets = words.utf8(pc.utf8_lower(batch.column(1).cast(pa.large_string()).fill_null("")))
+            rows, seeds = [], []
+            data, offsets = words.utf8(pc.utf8_lower(batch.column(2).cast(pa.large_string()).fill_null("")))
             for a, b in words.spans(np.diff(offsets)):
                 lo = offsets[a]
                 found = words.word_hashes(data[lo : offsets[b]], offsets[a : b + 1] - lo, gaps=words.SYMBOLS)
-                hashes, at = words.shingle_hashes(*found, SEED)
+                hashes, at = words.shingle_hashes(*found, TILE)
                 x, y = _probes(hashes, bits)
-                hit = np.flatnonzero(bitmap[x] & bitmap[y])
-                text = np.searchsorted(at, hit, "right") - 1
-                for t in np.unique(text):
+                hit = np.flatnonzero(held(x) & held(y))
+                edges = np.searchsorted(hit, at)
+                for t in np.flatnonzero(np.diff(edges)):
                     rows.append(a + int(t))
-                    seeds.append(np.unique(hashes[hit[text == t]]).view(np.int64))
-                    numbers.append(number)
-                    number += 1
+                    seeds.append(np.unique(hashes[hit[edges[t] : edges[t + 1]]].view(np.int64)))
             kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), kept.column(0), kept.column(1), pa.array(seeds, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "text", "seeds"],
-            )
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(seeds, pa.list_(pa.int64()))], names=["doc_id", "digest", "seeds"])
 
     return run
 
 
-_FOUND = "doc_id long, digest string, item_id long, n_tokens long, n_tiles long, coverage double"
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (digest, item) that share enough of the item's positions."""
+    for batch in batches:
+        keep = []
+        own, n, seeds = (batch.column(c) for c in ("own", "n", "seeds"))
+        for i, least in enumerate(batch.column("least").to_pylist()):
+            a, b, have = (x.slice(i, 1).flatten().to_numpy() for x in (own, n, seeds))
+            keep.append(int(b[np.isin(a, have)].sum()) >= least)
+        yield batch.select(["digest", "item"]).filter(pa.array(keep, pa.bool_()))
+
+
+_FOUND = "digest binary, item string, n_tokens long, n_tiles long, coverage double"
 
 
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text against its items: (item_id, item) lists."""
+    """Each text against its items."""
     for batch in batches:
         out: list[tuple] = []
-        digests, ids = batch.column("digest").to_pylist(), batch.column("doc_id").to_pylist()
+        digests = batch.column("digest").to_pylist()
         for i in range(batch.num_rows):
             text, _ = tokens(batch.column("text").slice(i, 1))
             listed = batch.column("items").slice(i, 1).flatten()
-            own, start = tokens(listed.field("item"))
-            for j, item_id in enumerate(listed.field("item_id").to_pylist()):
+            own, start = tokens(listed.field("item_text"))
+            for j, name in enumerate(listed.field("item").to_pylist()):
                 item = own[start[j] : start[j + 1]]
                 tiles = tile(item, text)
-                share = sum(k for _, _, k in tiles) / max(1, len(item))
-                if share >= COVERAGE:
-                    out.append((ids[i], digests[i], item_id, len(item), len(tiles), share))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                covered = sum(k for _, _, k in tiles)
+                if len(item) and covered * COVERAGE.denominator >= len(item) * COVERAGE.numerator:
+                    out.append((digests[i], name, len(item), len(tiles), covered / len(item)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """contaminations() with digest, the MD5 of the document's text."""
+def _prefix(seeds: DataFrame, met: DataFrame) -> DataFrame:
+    """(item, seed): each item's seeds but for the least - 1 positions of those that are in the most texts.
+
+    A document with least positions of an item has one of these, in whatever order the seeds are taken.
+    """
+    common = met.groupBy(F.col("seed").alias("s")).agg(F.count(F.lit(1)).alias("texts"))
+    known = seeds.join(common, F.col("seed") == F.col("s"))  # seeds of no text pair with none; they are rarer than all that follow
+    rare = Window.partitionBy("item").orderBy(F.col("texts").desc(), F.col("seed").desc())
+    return known.withColumn("to_end", F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, 0))).where("to_end >= least").select("item", "seed")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tiled pairs (digest of a text, item: MD5 of an item's text, ...), the documents with seeds (doc_id, digest), and the items (item_id, item)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
-    seeds = materialise(items.mapInArrow(_seed_rows, "item_id long, seed long").distinct(), "seeds")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.md5(text.cast("binary")).alias("item"), text.alias("item_text"))
+    bodies = materialise(items.select("item", "item_text").where("item is not null").distinct(), "items")
+    seeds = materialise(bodies.mapInArrow(_seed_rows, _SEEDS), "seeds")
 
     mask = (1 << filter_bits) - 1
     probes = F.array(F.col("seed").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("seed", filter_bits).bitwiseAND(F.lit(mask)))
-    bit = seeds.select(F.explode(probes).alias("bit")).select(F.shiftright("bit", 5).alias("word"), F.expr("shiftleft(1L, cast(bit & 31 as int))").alias("flag"))
-    bitmap = np.zeros(1 << filter_bits, bool)
-    for word, flags in bit.groupBy("word").agg(F.bit_or("flag")).toLocalIterator():  # at most 2**(filter_bits - 5) rows
-        bitmap[word * 32 + np.flatnonzero([flags >> i & 1 for i in range(32)])] = True
-    packed = spark.sparkContext.broadcast(np.packbits(bitmap))
+    bit = seeds.select(F.explode(probes).alias("bit")).select(F.shiftright("bit", 3).alias("byte"), F.expr("shiftleft(1, cast(bit & 7 as int))").alias("flag"))
+    bitmap = np.zeros(max(1, 1 << filter_bits >> 3), np.uint8)
+    for byte, flags in bit.groupBy("byte").agg(F.bit_or("flag")).toLocalIterator():  # at most 2**(filter_bits - 3) rows
+        bitmap[byte] = flags
+    packed = spark.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        return _hits(np.unpackbits(packed.value).view(bool), filter_bits)(batches)
+        return _hits(packed.value, filter_bits)(batches)
+
+    hits = materialise(texts.mapInArrow(run, _HITS), "hits")
+    once = materialise(hits.groupBy("digest").agg(F.first("seeds").alias("seeds")), "hit-texts")  # copies have the same seeds
+    met = once.select("digest", F.explode("seeds").alias("seed"))
+    pairs = met.join(_prefix(seeds, met), "seed").select("digest", "item").distinct()
+    own = seeds.groupBy("item").agg(F.first("least").alias("least"), F.collect_list(F.struct("seed", "n")).alias("s")).select("item", "least", F.col("s.seed").alias("own"), F.col("s.n").alias("n"))
+    near = pairs.join(own, "item").join(once, "digest").select("digest", "item", "least", "own", "n", "seeds")
+    near = materialise(near.mapInArrow(_sharing, "digest binary, item string"), "near")
 
-    hits = materialise(texts.mapInArrow(run, "row long, doc_id long, text string, seeds array<long>"), "hits")
-    pairs = hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_id").distinct()
-    parts = -(-benchmark.count() // ITEMS)
-    listed = pairs.join(items.distinct(), "item_id").groupBy("row", F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))).alias("part"))
-    listed = listed.agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    full = listed.join(hits.select("row", "doc_id", "text"), "row")
-    return full.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text", "items").mapInArrow(_tiled, _FOUND)
+    size = bodies.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("item"), F.lit(size // ITEM_BYTES + 1)).alias("part")
+    listed = near.join(bodies, "item").groupBy("digest", part).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+    wanted = texts.select("digest", "text").join(near.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    found = listed.join(wanted, "digest").select("digest", "text", "items").mapInArrow(_tiled, _FOUND)
+    return materialise(found, "contaminated"), hits.select("doc_id", "digest"), items.select("item_id", "item").distinct()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_tiles, coverage): the documents that hold benchmark items, once per pair and row of docs.
 
-    Null and empty texts match nothing. An item of fewer than SEED tokens matches only a
-    document that consists of just these tokens, as shorter runs occur everywhere. Rows
-    with a null doc_id are judged too (and give a null doc_id); repeated rows repeat, an
+    Null and empty texts match nothing, and null and empty items are in nothing. An item of
+    fewer than TILE tokens can have no tile and matches only a document that consists of
+    just these tokens. Rows with a null doc_id are judged too (and give a null doc_id), and
+    so are items with a null item_id; repeated documents repeat, repeated items do not; an
     empty table gives none, other columns are ignored. A very long text is tiled whole. A
-    text moves once with all items that it may hold (at most about ITEMS at once).
+    text moves once with all items that it may hold (about ITEM_BYTES of them at most).
     """
-    return _found(docs, benchmark, filter_bits).drop("digest")
+    found, rows, items = _found(docs, benchmark, filter_bits)
+    return rows.join(found, "digest").join(items, "item").select("doc_id", "item_id", "n_tokens", "n_tiles", "coverage")
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all columns.
 
-    A row is known by its doc_id (or that it has none) and its text together, so rows that
-    share a doc_id are judged each by its own text.
+    Each row is judged by its own text, so rows that share a doc_id may fare differently,
+    and copies of a text never do. Rows with a null text stay.
     """
-    found = materialise(_found(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")).distinct(), "contaminated")
-    own = F.md5(docs["text"].cast("string").cast("binary"))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["found_id"]) & (own == found["found_digest"]), "left_anti")
+    found, _, _ = _found(docs, benchmark)
+    held = found.select(F.col("digest").alias("found_digest")).distinct()
+    own = F.unhex(F.md5(docs["text"].cast("string").cast("binary")))
+    return docs.join(held, own == held["found_digest"], "left_anti")
