@@ -69,6 +69,7 @@ def test_unclosed_stray_and_nested_tags_take_linear_time():
 
     make = {
         "unclosed": lambda n: "<b>" * n + "x" + "</i>" * n, "inline": lambda n: "<b>" * n + "<p>y</p>" * n, "nested": lambda n: "<div>z" * n, "tables": lambda n: "<table><tr><td>t" * n,
+        "endless": lambda n: "<a " * n, "quoted": lambda n: '<a title="x ' * n, "quoted, one end": lambda n: '<b ">" ' * n + ">", "both quotes": lambda n: "<b '>\" " * n + ">", "comments": lambda n: "<!-" * n + "<!-- " * n,
         "classes": lambda n: "".join(f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>w</div>" for i in range(n)),
     }
     for name, source in make.items():
@@ -77,6 +78,33 @@ def test_unclosed_stray_and_nested_tags_take_linear_time():
     assert X.Page("<div>" * 20_000 + "deep").text(None) == "deep"
 
 
+def test_markup_that_never_ends():
+    cases = {
+        "<p>a</p><b x='1": "a\n<b x='1", "<p>a <!-- b <p>c</p>": "a", "<p>a</p>b <!-- c": "a\nb", "a < b <i>c</i> < d": "a < b c < d", "<p>a<script>var x = '<p>b</p>'": "a",
+        '<p title="1 > 0">a</p>': "a", "<p title='<b>'>a</p>": "a", '<p title="x>a</p>': "a", "no tags": "no tags", "<": "<", ">": ">",
+    }
+    for source, text in cases.items():
+        assert X.Page(source).text(None) == text, source
+
+
+def test_an_article_keeps_its_place_beside_a_topic_class():
+    kept = "<div class='post related-topics'><p>long article text</p></div>"
+    for aside in ("<div class='related-posts'>x</div>", "<div class='comment content'>x</div>", "<div class='post-comments'>x</div>", "<div id='sidebar' class='content'>x</div>"):
+        assert X.Page(kept + aside).text(None) == "long article text", aside
+
+
+def test_a_deep_climb_takes_few_joins(spark, monkeypatch):
+    """Forty containers, each with a block of its own: all are reached in rounds of doubled steps."""
+    deep = "".join(f"<div class='content c{chr(97 + i // 26)}{chr(97 + i % 26)}'><p>level {i} of page %d</p>" for i in range(40)) + f"<p>{'inner word ' * 80}</p>" + "</div>" * 40
+    pages = spark.createDataFrame([(i, f"https://deep.org/{i}", f"<body>{deep % ((i,) * 40)}</body>") for i in range(6)], "page_id long, url string, html string")
+    made = []
+    real = X.materialise
+    monkeypatch.setattr(X, "materialise", lambda df, name: made.append(name) or real(df, name))
+    for r in X.main_texts(pages).collect():
+        assert r["text"].split("\n")[:40] == [f"level {i} of page {r['page_id']}" for i in range(40)] and r["text"].endswith("inner word")
+    assert made.count("climb") <= 8
+
+
 class Plain(HTMLParser):
     """A second reader of well-formed pages: blocks with the classes and tags of the elements around them."""
 

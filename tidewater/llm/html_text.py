@@ -34,11 +34,12 @@ from tidewater.llm.storage import materialise
 #: A host with more than this part of all pages is hot; so there are never more hot hosts than its inverse.
 HOT = 1000
 
+#: A start tag's quoted values may hold > and <; what is not quoted may not hold <, so a tag that never ends is given up at the next one.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*+)>"
+    r"<!--.*?(?:-->|(?P<open_comment>\Z))"
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|(?P<open_raw>\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<cut_end>/?)(?P<cut_tag>[a-z][a-z0-9:-]*)(?P<cut_rest>[^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.IGNORECASE | re.DOTALL,
 )
@@ -78,7 +79,10 @@ def _is_chrome(tag: str, attributes: dict[str, str]) -> bool:
     if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"], re.IGNORECASE):
         return True
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(t.lower() in _CHROME for t in _TOKEN.findall(named))
+    whole = set(named.lower().split())
+    if whole & _CHROME or not whole & _LIKELY:
+        return any(t.lower() in _CHROME for t in _TOKEN.findall(named))
+    return False  # "post related-topics": a post, whatever its topics are
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -102,21 +106,24 @@ class Page:
         self._open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self._opened: Counter[str] = Counter()  # how many elements of a name are open
         self._open_blocks: list[int] = []  # places of open blocks in _open
-        at = 0
-        for m in _MARKUP.finditer(source):
+        at, last = 0, source.rfind(">") + 1  # no tag ends behind the last >, so none is looked for there
+        for m in _MARKUP.finditer(source, 0, last):
             if m.start() > at:
                 self._add(source[at : m.start()])
             at = m.end()
-            tag = m[3] or m[6]
+            tag = m["tag"] or m["cut_tag"]
             if not tag:
+                if m["open_comment"] is not None or m["open_raw"] is not None:
+                    at = len(source)
                 continue
             tag = tag.lower()
-            if m[2] or m[5]:
+            if m["end"] or m["cut_end"]:
                 self._end(tag)
             else:
-                self._start(tag, m[4] or m[7] or "")
-        if at < len(source):
-            self._add(source[at:])
+                self._start(tag, m["rest"] or m["cut_rest"] or "")
+        tail = source[at:].split("<!--", 1)[0]
+        if tail:
+            self._add(tail)
         self._flush()
 
     def _add(self, text: str) -> None:
@@ -307,29 +314,31 @@ def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path, votes, inner): each host's winning container path, inner, and the path that it climbs to. Ties go to the path that is first in order.
 
-    The climb is one join of all hosts for each level that adds text, until none goes on.
+    The climb follows steps of one level that are doubled in length until all have ended, so its joins grow with the logarithm of the depth.
     """
     rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     found = materialise(rows.mapInArrow(_ballots, _BALLOT).groupBy("host", "path", "outer").agg(
         F.sum("share").alias("votes"), F.count("share").alias("n"), F.count("outer").alias("adds"), F.sum("plain").alias("plain"), F.sum("named").alias("named"),
-        F.approx_count_distinct("crc").alias("texts"),
+        F.count_distinct("crc").alias("texts"),
     ), "paths")
     votes = found.where("n > 0").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"), F.sum("n").alias("n"))
     best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path", "n")).alias("b"))
-    won = best.select("host", (-F.col("b.v")).alias("votes"), F.col("b.path").alias("inner"), F.col("b.n").alias("pages"), F.col("b.path").alias("path"), F.col("b.path").alias("at"))
+    won = best.select("host", (-F.col("b.v")).alias("votes"), F.col("b.path").alias("inner"), F.col("b.n").alias("pages"))
     usual = F.max(F.struct("adds", "outer", "plain", "named", "texts")).alias("s")
-    steps = found.where("outer is not null").groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(usual).select("h", "p", "s.*")
+    steps = found.where("outer is not null").groupBy("host", F.col("path").alias("at")).agg(usual).select("host", "at", "s.*")
     differ = (F.col("texts") >= 2) & (2 * F.col("texts") > F.col("adds"))
-    on = F.coalesce((2 * F.col("plain") > F.col("pages")) & ((2 * F.col("named") > F.col("adds")) | differ), F.lit(False))
-    done, going = None, won
+    on = (2 * F.col("plain") > F.col("pages")) & ((2 * F.col("named") > F.col("adds")) | differ)
+    jumps = materialise(steps.join(won.select("host", "pages"), "host").where(on).select("host", "at", F.col("outer").alias("to")), "climb")
     while True:
-        step = going.join(steps, (F.col("host") == F.col("h")) & (F.col("at") == F.col("p")), "left")
-        step = step.select("host", "votes", "inner", "pages", F.when(on, F.col("outer")).otherwise(F.col("path")).alias("path"), F.when(on, F.col("outer")).alias("at"))
-        step = materialise(step, "climb")
-        ended, going = step.where("at is null"), step.where("at is not null")
-        done = ended if done is None else done.unionByName(ended)
-        if going.isEmpty():
-            return done.select("host", "path", "votes", "inner")
+        further = jumps.select(F.col("host").alias("h"), F.col("at").alias("via"), F.col("to").alias("beyond"))
+        step = jumps.join(further, (F.col("host") == F.col("h")) & (F.col("to") == F.col("via")), "left")
+        step = materialise(step.select("host", "at", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("goes_on")), "climb")
+        jumps = step.select("host", "at", "to")
+        if step.where("goes_on").isEmpty():
+            break
+    ends = jumps.select(F.col("host").alias("h"), "at", "to")
+    reached = won.join(ends, (F.col("host") == F.col("h")) & (F.col("inner") == F.col("at")), "left")
+    return reached.select("host", F.coalesce("to", "inner").alias("path"), "votes", "inner")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
