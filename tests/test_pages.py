@@ -37,3 +37,23 @@ def test_rules_of_hosts(spark):
     assert delays["https://a.org/x"] == 1500 and delays["https://d.org/q"] == 60_000 and delays["https://b.org/"] is None
     assert {r["reason"] for r in got if not r["allowed"]} == {R.DISALLOWED, R.UNPARSEABLE}
     assert R.robots_verdicts(urls.limit(0), spark.createDataFrame(bodies, "host string, body string"), "Bot").count() == 0
+
+
+def test_first_h1_as_written(spark):
+    pages = [(1, 'u', '<h2>no</h2>\n<h1>Le &quot;x&quot; <b>&amp;amp;</b> &amp</h1><h1>y</h1>'), (2, "u", "<p>none"), (3, "u", "<h1>open &lt"), (4, "u", None)]
+    got = {r["page_id"]: r for r in S.parsed_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), written=True).collect()}
+    assert [got[i]["h1"] for i in (1, 2, 3, 4)] == ["Le &quot;x&quot; <b>&amp;amp;</b> &amp", "", "open &lt", None]
+    assert got[1]["headings"] == ["no", 'Le "x" &amp; &', "y"]
+
+
+def test_heading_of_the_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidewater.plans import catalog
+
+    pages = [(1, 'u', '<h1>token = &quot;77</h1><a href="/x">x</a>'), (2, "u", "<h1>a &amp; b &amp</h1>"), (3, "u", "<h1> &lt;c&gt; </h1>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {tuple(r) for r in catalog.queries()["src2_parsed_pages"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.oracle_sql()["src2_parsed_pages"]).fetchall())

@@ -48,6 +48,8 @@ class _Parser(HTMLParser):
         self._opened: Counter[str] = Counter()
         self._gone = 0
         self._known: dict[int, str] = {}
+        self._h1: list[tuple[int, int]] = []  # line and column where the first h1 begins and where its inside ends
+        self._h1_at, self._h1_tag = -1, 0
 
     def handle_starttag(self, tag, attrs):
         attributes = {k: v or "" for k, v in attrs}
@@ -57,6 +59,8 @@ class _Parser(HTMLParser):
             self.handle_endtag("a")
         if tag in _VOID:
             return
+        if tag == "h1" and not self._h1:
+            self._h1, self._h1_at, self._h1_tag = [self.getpos()], len(self._names), len(self.get_starttag_text())
         above = self._open[-1] if self._open else -1
         self._block.append(above if above >= 0 and self._names[above][0] in _ANCHOR_BLOCKS else self._block[above] if above >= 0 else -1)
         self._open.append(len(self._names))
@@ -71,6 +75,8 @@ class _Parser(HTMLParser):
         self._runs[n][1] = len(self._texts)
         self._opened[tag] -= 1
         self._gone -= tag in _GONE
+        if n == self._h1_at:
+            self._h1.append(self.getpos())
         return tag
 
     def handle_endtag(self, tag):
@@ -100,6 +106,14 @@ class _Parser(HTMLParser):
         enough = bisect_left(self._signs, self._signs[begin] + most + 1, begin, end + 1)
         return _clean("".join(self._texts[begin : min(end, enough)]))[:most]
 
+    def first_h1(self, source: str) -> str:
+        """What stands inside the first h1 as it is written, its tags and character references included; empty if there is none. To be asked after result()."""
+        if not self._h1:
+            return ""
+        lines = [0, *(m.end() for m in re.finditer("\n", source))]
+        begin, end = (lines[line - 1] + column for line, column in self._h1)
+        return source[begin + self._h1_tag : end]
+
     def result(self) -> dict:
         while self._open:
             self._close()
@@ -136,24 +150,33 @@ class _Parser(HTMLParser):
 
 def parse_html(source: str | None) -> dict:
     """title, meta, headings, links (text, href as written, context) and text of a page."""
+    return _parsed(source)[0]
+
+
+def _parsed(source: str | None) -> tuple[dict, str | None]:
+    """parse_html() and the first h1 as it is written; null for a null page."""
     parser = _Parser()
     parser.feed(source or "")
     parser.close()
-    return parser.result()
+    return parser.result(), None if source is None else parser.first_h1(source)
 
 
 PARSED = "title string, meta string, headings array<string>, links array<struct<text:string,href:string,context:string>>, text string"
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with title, meta, headings, links and text instead of html; links are absolute and distinct by canonical URL."""
+def parsed_pages(pages: DataFrame, written: bool = False) -> DataFrame:
+    """pages (page_id, url, html) with title, meta, headings, links and text instead of html; links are absolute and distinct by canonical URL.
+
+    written adds h1, what stands inside the first h1 of the source, undecoded.
+    """
+    names = ["title", "meta", "headings", "links", "text", *(["h1"] if written else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts = pd.DataFrame([parse_html(h) for h in frame["html"]], columns=["title", "meta", "headings", "links", "text"])
+            parts = pd.DataFrame([told | {"h1": h1} for told, h1 in map(_parsed, frame["html"])], columns=names)
             yield pd.concat([frame[["page_id", "url"]].reset_index(drop=True), parts], axis=1)
 
-    raw = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, {PARSED}")
+    raw = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, {PARSED}" + (", h1 string" if written else ""))
     absolute = F.filter(F.transform("links", lambda x: F.struct(x["text"].alias("text"), resolve_url(x["href"], F.col("url")).alias("href"), x["context"].alias("context"))), lambda x: x["href"].isNotNull())
     raw = raw.withColumn("links", absolute).withColumn("_k", F.transform("links", lambda x: canonical_url(x["href"])))
     return raw.withColumn("links", F.filter("links", lambda x, i: F.array_position("_k", F.element_at("_k", i + 1)) == i + 1)).drop("_k")
