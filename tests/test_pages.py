@@ -39,6 +39,16 @@ def test_rules_of_hosts(spark):
     assert R.robots_verdicts(urls.limit(0), spark.createDataFrame(bodies, "host string, body string"), "Bot").count() == 0
 
 
+def test_pages_are_held_in_slices(spark):
+    import pandas as pd
+
+    frame = pd.DataFrame({"page_id": range(1000)})
+    parts = list(S.sliced(iter([frame, frame[:0], frame[:1]]), S.PAGES))
+    assert max(map(len, parts)) == S.PAGES and [i for p in parts for i in p["page_id"]] == [*range(1000), 0]
+    pages = spark.range(150).selectExpr("id as page_id", "'http://h/' as url", "concat('<a href=x', id, '>t</a>') as html").coalesce(1)
+    assert {r["page_id"]: r["links"][0]["href"] for r in S.parsed_pages(pages).collect()} == {i: f"http://h/x{i}" for i in range(150)}
+
+
 def test_first_h1_as_written(spark):
     pages = [(1, 'u', '<h2>no</h2>\n<h1>Le &quot;x&quot; <b>&amp;amp;</b> &amp</h1><h1>y</h1>'), (2, "u", "<p>none"), (3, "u", "<h1>open &lt"), (4, "u", None)]
     got = {r["page_id"]: r for r in S.parsed_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), written=True).collect()}

@@ -23,7 +23,7 @@ from tidewater.functions import dates, notices
 from tidewater.functions.patterns import any_word, ascii_edges
 from tidewater.functions.text import clean_job_title
 from tidewater.functions.urls import canonical_url, job_url, resolve_url
-from tidewater.sources.pages import _clean, _Parser
+from tidewater.sources.pages import PAGES, _clean, _Parser, sliced
 
 #: Hubs and rows a source, jobs out of a page's JSON, how far a span reaches and where it says what it is.
 HUBS, ROWS, EMBEDDED, SPAN, MARKED = 8, 60, 40, 40_000, 1500
@@ -127,7 +127,7 @@ def listing_parts(pages: DataFrame) -> DataFrame:
     """pages (url, html, and columns of the caller's) with anchors and candidates; a null page has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in sliced(frames, PAGES):
             found = []
             for html in frame["html"]:
                 parser = _Listing()

@@ -161,6 +161,17 @@ def _parsed(source: str | None) -> tuple[dict, str | None]:
     return parser.result(), None if source is None else parser.first_h1(source)
 
 
+#: Pages whose parts a Python worker holds at once.
+PAGES = 64
+
+
+def sliced(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The frames in slices of so many rows, so that what is made out of them is sent on bit by bit."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 PARSED = "title string, meta string, headings array<string>, links array<struct<text:string,href:string,context:string>>, text string"
 
 
@@ -172,7 +183,7 @@ def parsed_pages(pages: DataFrame, written: bool = False) -> DataFrame:
     names = ["title", "meta", "headings", "links", "text", *(["h1"] if written else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in sliced(frames, PAGES):
             parts = pd.DataFrame([told | {"h1": h1} for told, h1 in map(_parsed, frame["html"])], columns=names)
             yield pd.concat([frame[["page_id", "url"]].reset_index(drop=True), parts], axis=1)
 
