@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates, money
-from tidewater.functions.patterns import ascii_edges, settled, whole_words
+from tidewater.functions.patterns import ascii_edges, let, settled, whole_words
 from tidewater.functions.places import countries_in, regions_in
 from tidewater.functions.text import sentences
 
@@ -257,11 +257,16 @@ def english_test(parts: Column, test: str) -> Column:
     """struct(required, minScore, waiverAvailable): the sentence with a score in range wins, else the first that names the test. The score is sought 4 characters after the name's start."""
     name, score, low, high = ENGLISH[test]
     value = lambda s: F.regexp_extract(F.substring(s, (F.regexp_instr(s, F.lit(_p(name))) + 4).cast("int"), F.length(s)), ascii_edges(score), 1).try_cast("double")
-    named = F.filter(parts, lambda s: s.rlike(_p(name)))
-    rated = F.try_element_at(F.filter(named, lambda s: value(s).between(low, high)), F.lit(1))
-    chosen = F.coalesce(rated, F.try_element_at(named, F.lit(1)))
-    free = chosen.rlike(_UNNEEDED)
-    return F.struct((~free).alias("required"), F.when(~free, value(rated)).alias("minScore"), F.when(free | chosen.rlike(_WAIVED), F.lit(True)).alias("waiverAvailable"))
+
+    def told(found: Column) -> Column:
+        free = found["chosen"].rlike(_UNNEEDED)
+        return F.struct((~free).alias("required"), F.when(~free, value(found["rated"])).alias("minScore"), F.when(free | found["chosen"].rlike(_WAIVED), F.lit(True)).alias("waiverAvailable"))
+
+    def chosen(named: Column) -> Column:
+        rated = F.try_element_at(F.filter(named, lambda s: value(s).between(low, high)), F.lit(1))
+        return let(rated, lambda r: F.struct(r.alias("rated"), F.coalesce(r, F.try_element_at(named, F.lit(1))).alias("chosen")))
+
+    return let(let(F.filter(parts, lambda s: s.rlike(_p(name))), chosen), told)
 
 
 #: Wording of work experience and of a grade point average.
@@ -273,9 +278,12 @@ LEAST_GPA = ascii_edges(r"(?i)\b(?:minimum|min\.?)\s+(?:cumulative\s+)?GPA\s*(?:
 
 def work_years(parts: Column) -> Column:
     """Years of work experience (1 to 30) that the first sentence about it asks for."""
-    said = F.try_element_at(F.filter(parts, lambda s: s.rlike(EXPERIENCE)), F.lit(1))
-    years = F.regexp_extract(said, YEARS, 1).try_cast("int")
-    return F.when(~said.rlike(_UNNEEDED) & years.between(1, 30), years)
+
+    def asked(said: Column) -> Column:
+        years = F.regexp_extract(said, YEARS, 1).try_cast("int")
+        return F.when(~said.rlike(_UNNEEDED) & years.between(1, 30), years)
+
+    return let(F.try_element_at(F.filter(parts, lambda s: s.rlike(EXPERIENCE)), F.lit(1)), asked)
 
 
 def minimum_gpa(parts: Column) -> Column:
@@ -362,7 +370,7 @@ def requirements(parts: Column) -> Column:
     """struct of what applicants need: english (each test), minimumDegree, minimumGpa, minimumGrade, requiredFields, documents, workExperienceYears, professionalRegistration, supervisorRequired, admissionOfferRequired."""
     english = F.struct(*[english_test(parts, t).alias(t) for t in ENGLISH])
     return F.struct(
-        english.alias("english"), degree(_first(parts, *DEGREE_HELD)).alias("minimumDegree"), minimum_gpa(parts).alias("minimumGpa"), minimum_grade(parts).alias("minimumGrade"),
+        english.alias("english"), let(_first(parts, *DEGREE_HELD), degree).alias("minimumDegree"), minimum_gpa(parts).alias("minimumGpa"), minimum_grade(parts).alias("minimumGrade"),
         fields_of_study(parts).alias("requiredFields"), documents(parts).alias("documents"), work_years(parts).alias("workExperienceYears"),
         F.substring(_first(parts, REGISTERED), 1, 300).alias("professionalRegistration"), F.when(_first(parts, SUPERVISED).isNotNull(), True).alias("supervisorRequired"),
         F.when(_first(parts, ADMITTED).isNotNull(), True).alias("admissionOfferRequired"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _W = "[A-Za-z0-9_]"
 #: Between an ASCII word character and anything else.
@@ -34,3 +37,21 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that is heavy for each row; tables of more partitions stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def once_for_copies(df: DataFrame, inputs: Sequence[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that add() makes out of the columns inputs (texts, or arrays of them) alone; rows of equal inputs are worked on once.
+
+    Distinct inputs are dealt over all tasks and joined back by their SHA-256, so heavy work
+    grows with the different inputs. df is read twice. Streams are worked on row by row.
+    """
+    if df.isStreaming:
+        return add(df)
+    keyed = df.withColumn("_once", F.sha2(F.to_json(F.struct(*inputs)), 256))
+    made = add(keyed.select("_once", *inputs).distinct())
+    return keyed.join(made.select("_once", *[n for n in made.columns if n not in keyed.columns]), "_once").drop("_once")

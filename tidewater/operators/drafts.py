@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import dates, extract
 from tidewater.functions.enums import SOURCE_TYPES
 from tidewater.functions.money import authority, clamp
+from tidewater.functions.patterns import once_for_copies
 from tidewater.functions.text import derived_title, sentences, title_key
 
 #: Rank of each source type, in the order of SOURCE_TYPES.
@@ -21,12 +22,16 @@ PENALTY, MOST_PENALTY, FIELDS = 0.06, 0.25, 16
 
 
 def drafts(pages: DataFrame, now: datetime) -> DataFrame:
-    """pages (url, title, meta, headings, links, text, country) with the extracted fields, by rules alone; headings count twice."""
+    """pages (url, title, meta, headings, links, text, country) with the extracted fields, by rules alone; headings count twice. Pages of one content and country are read once, whatever their addresses."""
+    return once_for_copies(pages, ["title", "meta", "headings", "links", "text", "country"], lambda d: _each_draft(d, now))
+
+
+def _each_draft(pages: DataFrame, now: datetime) -> DataFrame:
     heads = F.array_join(F.coalesce("headings", F.array().cast("array<string>")), ". ")
     step = pages.withColumn("_corpus", F.concat_ws("\n", "title", "meta", heads, heads, "text"))
     for add in (extract.with_degree_levels, extract.with_funding, extract.with_eligibility):
         step = add(step, "_corpus")
-    step = dates.with_deadline(step, "_corpus", "country", now).withColumn("_s", sentences(F.col("_corpus"), 3, 699))
+    step = dates.each_deadline(step, "_corpus", "country", now).withColumn("_s", sentences(F.col("_corpus"), 3, 699))
     corpus = F.col("_corpus")
     title = derived_title(F.col("title"), F.try_element_at("headings", F.lit(1)))
     step = step.withColumn("requirements", extract.requirements(F.col("_s")))
