@@ -102,3 +102,30 @@ def test_a_batch_that_runs_again_is_written_once(spark, tmp_path):
     assert found == [(0, 1, "OPEN", "CLOSED"), (0, 2, "OPEN", "CLOSED"), (1, 2, "OPEN", "CLOSED"), (1, 3, "OPEN", "CLOSED")]
     W.sweep_stream(stream(), log, now, f"{tmp_path}/state").awaitTermination()
     assert W.sweep_log(spark, log).count() == 4
+
+
+def test_the_stream_folds_plain_rows():
+    """No frame a host: rows of any order, without ties or statuses, go through a stubbed state."""
+    from pyspark.sql import Row
+
+    class State:
+        known = None
+
+        def get(self):
+            return self.known
+
+        def update(self, value):
+            self.known = value
+
+    class Handle:
+        def __init__(self):
+            self.state = State()
+
+        def getValueState(self, name, kind):
+            return self.state
+
+    processor, handle = P._processor(None), Handle()
+    processor.init(handle)
+    batches = [[(3_000_000, 2, 200), (1_000_000, None, 429), (2_000_000, 1, None)], [(4_000_000, 5, 503)]]
+    got = [next(iter(processor.handleInputRows(("h",), iter([Row(us=u, tie=t, status=s) for u, t, s in b]), None))) for b in batches]
+    assert [(r["penalty_ms"], r["blocked"], r["at"], r["n"]) for r in got] == [(2500.0, 6_000_000, 3_000_000, 3), (5000.0, 9_000_000, 4_000_000, 4)]

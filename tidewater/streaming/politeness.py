@@ -9,7 +9,7 @@ back by itself; in the stream a timer drops its state then.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,7 +106,8 @@ def penalty_stream(responses: DataFrame, ease: timedelta | None = None, late: st
     """
     marked = responses.where(F.col("host").isNotNull() & F.col("at").isNotNull()).select("host", "at", "status", "tie").withWatermark("at", late)
     if HAS_PROCESSORS:
-        return marked.groupBy("host").transformWithStateInPandas(_processor(ease), OUT, "Update", "EventTime")
+        told = marked.withColumn("us", F.unix_micros("at")).groupBy("host").transformWithState(_processor(ease), "host string, penalty_ms double, blocked long, at long, n long", "Update", "EventTime")
+        return told.select("host", "penalty_ms", F.timestamp_micros("blocked").alias("blocked_until"), F.timestamp_micros("at").alias("at"), "n")
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def fold(key, frames, state):
@@ -142,11 +143,24 @@ def _rest(penalty: float, ease: timedelta) -> timedelta:
     return n * ease
 
 
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _when(us: int | None) -> datetime | None:
+    return None if us is None else _EPOCH + timedelta(microseconds=us)
+
+
+def _us(at: datetime | None) -> int | None:
+    return None if at is None else (at - _EPOCH) // timedelta(microseconds=1)
+
+
 def _processor(ease: timedelta | None):
+    """The processor of plain rows, whose times are microseconds (us); one frame a host would cost more than its rows."""
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    kind = StructType([StructField("penalty", DoubleType()), StructField("blocked", TimestampType()), StructField("at", TimestampType()), StructField("n", LongType())])
+    kind = StructType([StructField("penalty", DoubleType()), StructField("blocked", LongType()), StructField("at", LongType()), StructField("n", LongType())])
 
     class HostPenalty(StatefulProcessor):
         """A value state for each host, and with ease a timer that drops it."""
@@ -155,20 +169,23 @@ def _processor(ease: timedelta | None):
             self.handle = handle
             self.state = handle.getValueState("wait", kind)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            own = Fold(*_known(self.state.get() if self.state.exists() else None), ease=ease)
-            _add(own, rows)
-            plain = lambda at: None if at is None else at.to_pydatetime()
-            self.state.update((own.penalty, plain(own.blocked), plain(own.at), own.n))
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            known = self.state.get()
+            own = Fold(known[0], _when(known[1]), _when(known[2]), known[3], ease) if known else Fold(ease=ease)
+            told = [(r["us"], r["tie"], r["status"]) for r in rows]  # one host's rows of one batch
+            for us, _, status in sorted(told, key=lambda r: (r[0], r[1] is None, 0 if r[1] is None else r[1])):
+                own.add(_when(us), status)
+            after_all = (own.penalty, _us(own.blocked), _us(own.at), own.n)
+            self.state.update(after_all)
             if ease is not None:
                 for timer in self.handle.listTimers():
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int((own.at + _rest(own.penalty, ease)).timestamp() * 1000))
-            yield _frame([own.row(key[0])])
+                self.handle.registerTimer(_us(own.at + _rest(own.penalty, ease)) // 1000)
+            yield Row(host=key[0], penalty_ms=after_all[0], blocked=after_all[1], at=after_all[2], n=after_all[3])
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             self.state.clear()
-            yield _frame([])
+            yield from ()
 
         def close(self) -> None:
             pass
