@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import notices
+from tidewater.functions.patterns import dealt
 from tidewater.sources import listings as L
 from tidewater.sources.pages import parse_html
 
@@ -59,6 +60,32 @@ def test_time_grows_with_the_page(page):
     assert time.perf_counter() - begin < 20
 
 
+def test_a_page_is_a_row_for_each_part_and_dealt(spark):
+    """So that judging a large page's anchors is the work of many tasks."""
+    html = "".join(f'<li><a href="/careers/{i}">Clerk {i}</a> in Thika</li>' for i in range(25_000)) + "<h2>Open posts</h2>"
+    parts = dealt(L.listing_parts(spark.createDataFrame([("a", "https://a.org/careers", html), ("b", "https://b.org", None)], "source string, url string, html string")))
+    assert parts.columns == ["source", "url", *L.PARTS]
+    assert parts.withColumn("task", F.spark_partition_id()).where(F.col("kind") == L.ANCHOR).agg(F.count("*"), F.count_distinct("pos"), F.count_distinct("task")).collect() == [(25_000, 25_000, 16)]
+    assert [tuple(r) for r in parts.where(F.col("kind") != L.ANCHOR).collect()] == [("a", "https://a.org/careers", 0, 50_000, "Open posts", None, "", "")]
+
+
+def test_pages_are_read_twice_and_links_judged_once(spark):
+    """Once for the sources' pages and once for their hubs, whatever comes after; and each rule once a link."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def html(url):
+        read.add(1)
+        return '<a href="/jobs/hub">Vacancies</a>' if url.endswith("careers") else '<a href="/careers/2">Risk Analyst</a>'
+
+    pages = spark.createDataFrame([("https://a.org/careers",), ("https://a.org/jobs/hub",)], "url string").withColumn("html", html("url"))
+    sources = spark.createDataFrame([("a", "https://a.org/careers")], "source string, url string")
+    assert [r["title"] for r in L.scraped(sources, pages, NOW).collect()] == ["Risk Analyst"]
+    assert read.value <= 4
+    plan = sources.where(notices.job_link(F.col("source"), F.col("url"), F.lit(""))["type"] == "posting")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("underwriters") == 1
+
+
 def test_addresses_that_are_no_jobs(spark):
     rows = [("https://b.co.ke/careers/insurance/relationship-manager", "reject"), ("https://b.co.ke/careers/employee-stories/relationship-manager", "reject"), ("https://b.co.ke/jobs/awards/senior-officer", "reject"), ("https://b.co.ke:8443/jobs/x", "posting"), ("https://b.co.ke/careers/insurances", "posting"), (None, "reject")]
     frame = spark.createDataFrame(rows, "href string, want string")

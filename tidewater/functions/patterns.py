@@ -39,6 +39,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in turn over four tasks a core, for rows that each take long, however few or small they are."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with value computed once, however often f reads it."""
     return F.transform(F.array(value), f)[0]

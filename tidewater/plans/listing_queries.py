@@ -10,6 +10,7 @@ from tidewater.functions import classify as K
 from tidewater.functions import notices as N
 from tidewater.functions import text as T
 from tidewater.plans.catalog import query
+from tidewater.plans.session import stored
 from tidewater.sources import crawl_rules as R
 from tidewater.sources import listings as L
 from tidewater.sources import pages as S
@@ -18,6 +19,8 @@ c = F.col
 NOW = datetime(2026, 4, 1)
 _HOST = "'https://b' || replace(p_brand, 'Brand#', '') || '.example.org'"
 _NUMBER = "cast(replace(p_brand, 'Brand#', '') as int)"
+#: Keys of parts whose lines are put together at once.
+_RUN = 10_000
 
 
 def _shown(t):
@@ -26,11 +29,15 @@ def _shown(t):
     again = F.expr("concat('<li><a href=\"/careers/job-', p_partkey, '?utm_source=x\">', p_name, ' officer</a></li>')")
     coded = F.expr("concat('{\\\\\"title\\\\\":\\\\\"', p_name, ' Officer\\\\\",\\\\\"closingDate\\\\\":\\\\\"2026-0', p_partkey % 9 + 1, '-10\\\\\",\\\\\"jobType\\\\\":\\\\\"x\\\\\",\\\\\"url\\\\\":\\\\\"', host, '/careers/job-', p_partkey, '\\\\\"}')")
     card = F.expr("concat('<div><h3>', p_name, ' Manager</h3><p>Closes on 12 ', if(p_partkey % 2 = 0, 'May', 'March'), ' 2026</p><a href=\"/careers/job-', p_partkey, '\">More</a></div>')")
-    parts = t("part").withColumn("host", F.expr(_HOST)).withColumn("number", F.expr(_NUMBER))
-    listed = lambda html, when=F.lit(True): F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("p_partkey", html.alias("h"))))), lambda x: x["h"]), "")
-    k = c("p_partkey")
-    pages = parts.groupBy("p_brand", "host", "number").agg(listed(item, k % 3 != 1).alias("first"), listed(F.when(k % 3 == 1, item).otherwise(again), (k % 3 == 1) | (k % 6 == 0)).alias("second"), listed(coded).alias("json"), listed(card).alias("cards"))
-    body = F.when(c("number") % 4 < 2, F.concat(F.lit('<ul><a href="/vacancies/page-2">Vacancies</a>'), "first", F.lit("</ul>"))).when(c("number") % 4 == 2, F.concat(F.lit("<p>Jobs</p><script>self.push([1,'"), "json", F.lit("'])</script>"))).otherwise(c("cards"))
+    k, kind = c("p_partkey"), c("number") % 4
+    parts = t("part").withColumn("host", F.expr(_HOST)).withColumn("number", F.expr(_NUMBER)).withColumn("run", F.floor(k / _RUN))
+    shown = F.when(kind == 2, coded).when(kind == 3, card).when(k % 3 != 1, item)
+    again = F.when((kind < 2) & (k % 3 == 1), item).when((kind < 2) & (k % 6 == 0), again)
+    # a brand's lines by runs of keys, then its runs, so that no task holds a brand's parts one by one
+    listed = lambda by, html: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(html.isNotNull(), F.struct(by, html.alias("h"))))), lambda x: x["h"]), "")
+    runs = parts.groupBy("p_brand", "host", "number", "run").agg(listed("p_partkey", shown).alias("first"), listed("p_partkey", again).alias("second"))
+    pages = runs.groupBy("p_brand", "host", "number").agg(listed("run", c("first")).alias("first"), listed("run", c("second")).alias("second"))
+    body = F.when(kind < 2, F.concat(F.lit('<ul><a href="/vacancies/page-2">Vacancies</a>'), "first", F.lit("</ul>"))).when(kind == 2, F.concat(F.lit("<p>Jobs</p><script>self.push([1,'"), "first", F.lit("'])</script>"))).otherwise(c("first"))
     main = pages.select(c("p_brand").alias("source"), F.concat("host", F.lit("/careers")).alias("url"), body.alias("html"))
     hub = pages.where("number % 4 < 2").select(c("p_brand").alias("source"), F.concat("host", F.lit("/vacancies/page-2")).alias("url"), F.concat(F.lit("<ul>"), "second", F.lit("</ul>")).alias("html"))
     return main, hub
@@ -51,8 +58,9 @@ select p_brand as source, rank, title, url, location, via from r where rank <= 6
 def src8_scraped_listings(t):
     """Anchors of careers pages and their hubs, JSON and cards where those give nothing, an address filter, 60 rows a source."""
     main, hub = _shown(t)
-    pages = main.unionByName(hub).select("url", "html").unionByName(t("pages").select("url", "html"))
-    sources = main.select("source", "url", F.when(F.expr("cast(replace(source, 'Brand#', '') as int) % 8 = 0"), "job-[0-9]*[05]$").alias("url_filter"))
+    shown = stored(main.withColumn("main", F.lit(True)).unionByName(hub.withColumn("main", F.lit(False))), "shown")
+    pages = shown.select("url", "html").unionByName(t("pages").select("url", "html"))
+    sources = shown.where("main").select("source", "url", F.when(F.expr("cast(replace(source, 'Brand#', '') as int) % 8 = 0"), "job-[0-9]*[05]$").alias("url_filter"))
     return L.scraped(sources, pages, NOW)
 
 

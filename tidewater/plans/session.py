@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,3 +32,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in scratch(), read back; what follows neither repeats the work nor depends on how its rows were dealt."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

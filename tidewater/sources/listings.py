@@ -4,8 +4,10 @@ The pages are the crawler's table; nothing is fetched. A source's page is found
 and its anchors are classified. Hubs, HUBS a source in page order, are joined back to the pages;
 addresses that the source's page has already shown are left out by an anti-join. Only sources
 that are still empty go on: to jobs in JSON inside the page, cut into spans between consecutive
-titles, and if there are none to headings and cards. HTML is parsed once a page on the executors;
-all else is joins and column functions. Order is the order of the pages, never that of rows.
+titles, and if there are none to headings and cards. HTML is parsed once a page on the executors,
+into a row for each part; rows are dealt over all tasks before they are judged, so that a large
+page keeps no task longer than its parsing takes. All else is joins and column functions; what
+several steps read is stored in the shared folder. Order is the order of the pages, never that of rows.
 """
 
 from __future__ import annotations
@@ -13,16 +15,17 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime
-from itertools import accumulate
+from itertools import accumulate, batched, chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates, notices
-from tidewater.functions.patterns import any_word, ascii_edges
+from tidewater.functions.patterns import any_word, ascii_edges, dealt, let
 from tidewater.functions.text import clean_job_title
 from tidewater.functions.urls import canonical_url, job_url, resolve_url
+from tidewater.plans.session import stored
 from tidewater.sources.pages import PAGES, _clean, _Parser, sliced
 
 #: Hubs and rows a source, jobs out of a page's JSON, how far a span reaches and where it says what it is.
@@ -37,8 +40,8 @@ CARD_DATES = (r"(?i)(?:clos\w*(?:\s+on)?|deadline)\s*:?\s*(\d{1,2})(?:st|nd|rd|t
 PLACE = ascii_edges(r"(?i)\b(Nairobi|Mombasa|Kisumu|Nakuru|Eldoret|Thika|Kenya)\b")
 PERSONAL = any_word(("our", "we", "you", "your"))
 TITLE, WORDS, CARD, CLIMB = (6, 90), 10, 1200, 4
-#: Characters that are read of the row around an anchor.
-_ROW = 2000
+#: Characters that are read of the row around an anchor, and parts that a Python worker sends on at once.
+_ROW, _SENT = 2000, 10_000
 _HEADINGS, _LEAVES = ("h1", "h2", "h3", "h4", "h5", "strong", "b"), ("p", "span", "div", "td", "li")
 VERTICALS = {"jobs": (notices.job_link, notices.ROLE_REASON), "tenders": (notices.tender_link, notices.TENDER_REASON)}
 
@@ -78,11 +81,13 @@ class _Listing(_Parser):
             n = self._parent[n]
         return n
 
-    def parts(self) -> tuple[list[dict], list[dict]]:
-        """(anchors, candidates): every anchor with its heading and row; every heading, picture and text-only element with its card."""
-        while self._open:
-            self._close()
-        size = [0, *accumulate(self._sizes)]
+    def parts(self) -> tuple[list[tuple], list[tuple]]:
+        """(anchors, candidates), all at once."""
+        return list(self.anchors()), list(self.candidates())
+
+    def anchors(self) -> Iterator[tuple]:
+        """Every anchor with its heading and row, as in PARTS."""
+        self._finish()
         headed: dict[int, int] = {}
         for n, (tag, _) in enumerate(self._names):
             if tag in ("h1", "h2", "h3", "h4"):
@@ -90,13 +95,25 @@ class _Listing(_Parser):
                 while above >= 0 and above not in headed:
                     headed[above] = n
                     above = self._parent[above]
-        linked = [n for n, (tag, attributes) in enumerate(self._names) if tag == "a" and "href" in attributes]
-        anchors, rows, sections = [], frozenset(("li", "tr", "article", "div")), frozenset(("section", "article", "li", "tr", "div"))
-        for n in linked:
+        rows, sections = frozenset(("li", "tr", "article", "div")), frozenset(("section", "article", "li", "tr", "div"))
+        for n in self._linked():
             row, section = self._nearest(n, rows), self._nearest(n, sections)
             above = self._parent[n]
             heading = self._text_of(headed[section]) if section in headed else ""
-            anchors.append({"pos": n, "text": self._text_of(n), "href": self._names[n][1]["href"], "heading": heading, "row": self._begin_of(row if row >= 0 else above, _ROW) if max(row, above) >= 0 else ""})
+            yield ANCHOR, n, self._text_of(n), self._names[n][1]["href"], heading, self._begin_of(row if row >= 0 else above, _ROW) if max(row, above) >= 0 else ""
+
+    def _finish(self) -> None:
+        while self._open:
+            self._close()
+
+    def _linked(self) -> list[int]:
+        return [n for n, (tag, attributes) in enumerate(self._names) if tag == "a" and "href" in attributes]
+
+    def candidates(self) -> Iterator[tuple]:
+        """Every heading, picture and text-only element with its card, as in PARTS."""
+        self._finish()
+        size = [0, *accumulate(self._sizes)]
+        linked = self._linked()
 
         def card(above: int) -> int:
             for _ in range(CLIMB):
@@ -108,36 +125,39 @@ class _Listing(_Parser):
                 above = self._parent[above]
             return -1
 
-        told = [(0, n, self._text_of(n), self._parent[n]) for n, (tag, _) in enumerate(self._names) if tag in _HEADINGS]
-        told += [(1, i, _clean(alt), above) for i, (alt, above) in enumerate(self._pictures)]
-        told += [(2, n, self._text_of(n), self._parent[n]) for n, (tag, _) in enumerate(self._names) if tag in _LEAVES and self._leaf[n]]
-        candidates = []
-        for kind, place, text, above in told:
+        headings = ((0, n, self._text_of(n), self._parent[n]) for n, (tag, _) in enumerate(self._names) if tag in _HEADINGS)
+        pictures = ((1, i, _clean(alt), above) for i, (alt, above) in enumerate(self._pictures))
+        leaves = ((2, n, self._text_of(n), self._parent[n]) for n, (tag, _) in enumerate(self._names) if tag in _LEAVES and self._leaf[n])
+        for kind, place, text, above in chain(headings, pictures, leaves):
             if TITLE[0] <= len(text) <= TITLE[1]:
                 own = card(above)
                 href = self._names[linked[bisect_left(linked, own)]][1]["href"] if own >= 0 else None
-                candidates.append({"kind": kind, "pos": place, "text": text, "href": href, "card": self._text_of(own) if own >= 0 else ""})
-        return anchors, candidates
+                yield kind, place, text, href, "", self._text_of(own) if own >= 0 else ""
 
 
-PARTS = "anchors array<struct<pos:int,text:string,href:string,heading:string,row:string>>, candidates array<struct<kind:int,pos:int,text:string,href:string,card:string>>"
+#: What a part is: an anchor, or else a candidate of kind 0 to 2. Around an anchor is its row, around a candidate its card.
+ANCHOR = -1
+PARTS = {"kind": "int", "pos": "int", "text": "string", "href": "string", "heading": "string", "around": "string"}
 
 
 def listing_parts(pages: DataFrame) -> DataFrame:
-    """pages (url, html, and columns of the caller's) with anchors and candidates; a null page has none."""
+    """A row for each anchor and candidate of pages (html, and columns of the caller's, which come along); a null page has none."""
+    keep = [f for f in pages.schema.fields if f.name != "html"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, PAGES):
-            found = []
-            for html in frame["html"]:
-                parser = _Listing()
-                parser.feed(html or "")
-                parser.close()
-                found.append(parser.parts())
-            yield frame.assign(anchors=[a for a, _ in found], candidates=[c for _, c in found])
+            for rows in batched(chain.from_iterable(map(parts, frame[[f.name for f in keep]].itertuples(index=False, name=None), frame["html"])), _SENT):
+                yield pd.DataFrame(rows, columns=names)
+
+    def parts(of: tuple, html: str | None) -> Iterator[tuple]:
+        parser = _Listing()
+        parser.feed(html or "")
+        parser.close()
+        for part in chain(parser.anchors(), parser.candidates()):
+            yield *of, *part
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInPandas(run, f"{schema}, {PARTS}")
+    names = [*(f.name for f in keep), *PARTS]
+    return pages.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{n} {t}" for n, t in PARTS.items())]))
 
 
 def job_spans(html: Column) -> Column:
@@ -162,43 +182,42 @@ def embedded_jobs(pages: DataFrame, now: datetime, vertical: str = "jobs", most:
     due = F.regexp_extract("span", DATE_KEYS, 1)
     base = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", "")
     own, number = F.regexp_extract("span", URL_KEYS, 1), F.regexp_extract("span", OWN_ID, 1)
-    told = spans.select(*keep, "pos", title.alias("title"), due.try_cast("timestamp").alias("due"), F.when(own != "", own).when(number != "", F.concat(base, F.lit("/"), number)).otherwise(base).alias("job_url"))
-    open_ = told.where(F.col("due").isNull() | (F.col("due") >= F.lit(now))).where(classify(F.col("title"), F.col("job_url"), F.lit(""))["type"] == "posting")
-    first = Window.partitionBy(*keep, F.lower("title")).orderBy("pos")
+    address = let(own, lambda o: F.when(o != "", o).otherwise(let(number, lambda n: F.when(n != "", F.concat(base, F.lit("/"), n)).otherwise(base))))
+    told = dealt(spans.select(*keep, "pos", title.alias("title"), due.try_cast("timestamp").alias("due"), address.alias("job_url")))
+    fits = (F.col("due").isNull() | (F.col("due") >= F.lit(now))) & (classify(F.col("title"), F.col("job_url"), F.lit(""))["type"] == "posting")
+    # judged in an aggregate, since a filter would be judged before the rows are dealt
+    first = told.groupBy(*keep, F.lower("title").alias("_key")).agg(F.min(F.when(fits, F.struct("pos", "title", "job_url"))).alias("_first")).where(F.col("_first").isNotNull())
     rank = Window.partitionBy(*keep).orderBy("pos")
-    once = open_.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= most)
+    once = first.select(*keep, "_first.*").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= most)
     return once.select(*keep, "title", "job_url", "pos")
 
 
-def _anchors(parsed: DataFrame, vertical: str, now: datetime) -> DataFrame:
-    """(source, hub, pos, title, url, norm, type, location): the anchors of parsed pages (source, hub, url, anchors), the first of an address in a source's pages."""
+def _anchors(parts: DataFrame, vertical: str, now: datetime) -> DataFrame:
+    """(source, hub, pos, title, url, norm, type, location): the anchors among parts of pages (source, hub, url), the first of an address in a source's pages; type is null for tenders that are past."""
     classify, _ = VERTICALS[vertical]
-    rows = parsed.select("source", "hub", F.col("url").alias("page"), F.explode("anchors").alias("a"))
-    rows = rows.select("source", "hub", F.col("a.pos").alias("pos"), clean_job_title(F.col("a.text")).alias("title"), resolve_url(F.col("a.href"), F.col("page")).alias("url"), F.col("a.heading").alias("heading"), F.col("a.row").alias("row"))
-    rows = rows.where(F.col("url").isNotNull()).withColumn("norm", job_url(F.col("url")))
-    first = rows.groupBy("source", "norm").agg(F.min(F.struct("hub", "pos", "title", "url", "heading", "row")).alias("f")).select("source", "norm", "f.*")
-    found = first.withColumn("type", classify(F.col("title"), F.col("url"), F.col("heading"))["type"])
+    at = let(resolve_url(F.col("href"), F.col("url")), lambda u: F.struct(u.alias("url"), F.when(u.isNotNull(), job_url(u)).alias("norm")))
+    rows = parts.where(F.col("kind") == ANCHOR).select("source", "hub", "pos", clean_job_title(F.col("text")).alias("title"), at.alias("at"), "heading", F.col("around").alias("row"))
+    rows = rows.groupBy("source", F.col("at.norm").alias("norm")).agg(F.min(F.struct("hub", "pos", "title", F.col("at.url").alias("url"), "heading", "row")).alias("f"))
+    first = rows.where(F.col("f.url").isNotNull()).select("source", "norm", "f.*")
+    type_ = classify(F.col("title"), F.col("url"), F.col("heading"))["type"]
     if vertical == "tenders":
-        closing = dates.tender_date(F.col("row"))
-        found = found.where((F.col("type") != "posting") | closing.isNull() | (closing >= F.lit(now)))
+        type_ = let(type_, lambda v: F.when((v != "posting") | let(dates.tender_date(F.col("row")), lambda d: d.isNull() | (d >= F.lit(now))), v))
     location = F.nullif(F.regexp_extract("row", PLACE, 1), F.lit(""))
-    return found.select("source", "hub", "pos", "title", "url", "norm", "type", location.alias("location"))
+    return first.select("source", "hub", "pos", "title", "url", "norm", type_.alias("type"), location.alias("location"))
 
 
-def _cards(parsed: DataFrame, vertical: str, now: datetime) -> DataFrame:
+def _cards(parts: DataFrame, vertical: str, now: datetime) -> DataFrame:
     """(source, kind, pos, title, url): headings, pictures and text-only elements that are titles by themselves, with their card's address if that is one of a posting."""
     classify, reason = VERTICALS[vertical]
-    rows = parsed.select("source", F.col("url").alias("page"), F.explode("candidates").alias("c")).select("source", "page", "c.*")
-    text = F.col("text")
-    rows = rows.where(~text.rlike("[.!…]$") & (F.size(F.split(text, r"\s+")) <= WORDS) & ~text.rlike(PERSONAL))
-    day = F.coalesce(*(F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract("card", p, d), F.initcap(F.substring(F.regexp_extract("card", p, m), 1, 3)), F.regexp_extract("card", p, 3)), F.lit("d MMM yyyy")) for p, d, m in ((CARD_DATES[0], 1, 2), (CARD_DATES[1], 2, 1))))
-    rows = rows.withColumn("due", day).where(F.col("due").isNull() | (F.col("due") >= F.lit(now)))
-    linked = F.when(~F.col("href").rlike("(?i)^(?:mailto:|tel:|#)"), resolve_url(F.col("href"), F.col("page")))
-    rows = rows.withColumn("linked", linked)
-    fits = lambda v: (v["type"] == "posting") & F.array_contains(v["reasons"], reason)
-    url = F.when(F.col("linked").isNotNull() & fits(classify(text, F.col("linked"), F.lit(""))), F.col("linked")).when(fits(classify(text, F.col("page"), F.lit(""))), F.col("page"))
-    rows = rows.withColumn("url", url).where(F.col("url").isNotNull())
-    first = rows.groupBy("source", F.lower("text").alias("key")).agg(F.min(F.struct("kind", "pos", "text", "url")).alias("f"))
+    text, page = F.col("text"), F.col("url")
+    rows = parts.where(F.col("kind") != ANCHOR).where(~text.rlike("[.!…]$") & (F.size(F.split(text, r"\s+")) <= WORDS) & ~text.rlike(PERSONAL))
+    day = F.coalesce(*(F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract("around", p, d), F.initcap(F.substring(F.regexp_extract("around", p, m), 1, 3)), F.regexp_extract("around", p, 3)), F.lit("d MMM yyyy")) for p, d, m in ((CARD_DATES[0], 1, 2), (CARD_DATES[1], 2, 1))))
+    rows = rows.where(let(day, lambda d: d.isNull() | (d >= F.lit(now))))
+    linked = F.when(~F.col("href").rlike("(?i)^(?:mailto:|tel:|#)"), resolve_url(F.col("href"), page))
+    fits = lambda url: let(classify(text, url, F.lit("")), lambda v: (v["type"] == "posting") & F.array_contains(v["reasons"], reason))
+    url = let(linked, lambda u: F.when(u.isNotNull() & fits(u), u).when(fits(page), page))
+    told = let(url, lambda u: F.when(u.isNotNull(), F.struct("kind", "pos", "text", u.alias("url"))))
+    first = rows.groupBy("source", F.lower("text").alias("key")).agg(F.min(told).alias("f")).where(F.col("f").isNotNull())
     return first.select("source", "f.kind", "f.pos", F.col("f.text").alias("title"), "f.url")
 
 
@@ -214,17 +233,20 @@ def scraped(sources: DataFrame, pages: DataFrame, now: datetime, vertical: str =
     at = sources.select("source", canonical_url(F.col("url")).alias("key"), (F.col("url_filter") if has_filter else F.lit(None).cast("string")).alias("url_filter")).where(F.col("key").isNotNull())
     keyed = pages.select(canonical_url(F.col("url")).alias("key"), "url", "html")
     visit = lambda frontier: keyed.join(frontier, "key").groupBy("source", "hub", "key").agg(F.min(F.struct("url", "html")).alias("p")).select("source", "hub", "p.url", "p.html")
-    main = listing_parts(visit(at.select("source", "key", F.lit(0).alias("hub")).distinct())).persist()  # parsed once for its four readers
-    shown = _anchors(main, vertical, now).persist()
+    main = stored(visit(at.select("source", "key", F.lit(0).alias("hub")).distinct()), "listing-pages")
+    parts = stored(dealt(listing_parts(dealt(main))), "listing-parts")
+    shown = stored(_anchors(parts, vertical, now), "listing-anchors").where(F.col("type").isNotNull())
     order = Window.partitionBy("source").orderBy("pos")
     targets = shown.where("type = 'careers_page'").withColumn("key", canonical_url(F.col("url")))
     targets = targets.groupBy("source", "key").agg(F.min("pos").alias("pos")).withColumn("hub", F.row_number().over(order)).where(F.col("hub") <= hubs)
-    deeper = _anchors(listing_parts(visit(targets.select("source", "key", "hub"))), vertical, now).join(shown.select("source", "norm"), ["source", "norm"], "left_anti")
+    deeper = _anchors(listing_parts(dealt(visit(targets.select("source", "key", "hub")))), vertical, now).join(shown.select("source", "norm"), ["source", "norm"], "left_anti")
     postings = shown.unionByName(deeper).where("type = 'posting'").select("source", F.lit(0).alias("kind"), "hub", "pos", "title", "url", "location", F.lit("anchor").alias("via"))
-    empty = main.join(postings.select("source"), "source", "left_anti")
-    embedded = embedded_jobs(empty.select("source", "url", "html"), now, vertical)
+    postings = stored(postings, "listing-postings")
+    full = postings.select("source").distinct()
+    embedded = embedded_jobs(dealt(main.join(full, "source", "left_anti").select("source", "url", "html")), now, vertical)
     embedded = embedded.select("source", F.lit(0).alias("kind"), F.lit(0).alias("hub"), "pos", "title", F.col("job_url").alias("url"), F.lit(None).cast("string").alias("location"), F.lit("embedded").alias("via"))
-    cards = _cards(empty.join(embedded.select("source"), "source", "left_anti"), vertical, now)
+    embedded = stored(embedded, "listing-embedded")
+    cards = _cards(parts.join(full.unionByName(embedded.select("source").distinct()), "source", "left_anti"), vertical, now)
     cards = cards.select("source", "kind", F.lit(0).alias("hub"), "pos", "title", "url", F.lit(None).cast("string").alias("location"), F.lit("heading").alias("via"))
     rows = postings.unionByName(embedded).unionByName(cards)
     filters = at.groupBy("source").agg(F.min("url_filter").alias("url_filter"))
