@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 
 from tidewater.functions.stemming import stem
 from tidewater.operators import text_index as X
+from tidewater.plans import catalog
 
 #: From the algorithm's published sample vocabulary.
 PAIRS = """consigned consign consignment consign consistency consist consistently consist consolatory consolatori consolidating consolid conspicuously conspicu conspiracy conspiraci constancy constanc
@@ -61,3 +63,33 @@ def test_a_query_reads_its_terms_only(built):
 def test_no_rows(spark, tmp_path):
     index = X.TextIndex.write(spark.createDataFrame([], SCHEMA), "id", ["title"], f"file://{tmp_path}/b")
     assert index.search("grant").count() == 0 and index.search('"a b" -c').count() == 0
+
+
+@pytest.mark.parametrize("query", ["grants study", '-grants "of the"', "grants -policies", "fund -grants"])
+def test_told_forms_count_alone(built, query):
+    df, index = built
+    forms = {"grants": ["grant", "granting"], "policies": ["policy"]}
+    q = X.Query.of(query, forms)
+    assert "grant" not in q.stems | q.banned
+    want = set()
+    for i, *texts, _ in rows(1):
+        columns = [X.words_of(t or "") for t in texts]
+        words = {w for ws in columns for w in ws}
+        has = lambda w: bool(words & set(forms[w])) if w in forms else stem(w) in map(stem, words)  # noqa: B023, E731
+        wanted, banned = [[t.lstrip("-") for t in query.replace('"of the"', "").split() if t.startswith("-") == b] for b in (False, True)]
+        if i is not None and (any(map(has, wanted)) or not wanted) and not any(map(has, banned)) and ('"' not in query or any(" of the " in f" {' '.join(ws)} " for ws in columns)):
+            want.add(i)
+    assert want and {r["id"] for r in index.search(query, forms).collect()} == want
+    assert {r["id"] for r in X.scan(df, "id", ["title", "body"], query, forms).collect()} == want
+
+
+def test_query_has_the_endings_of_its_sql(spark, tmp_path):
+    words = "hehe hehes hehees hehed hehelying hehelyed hehe's heheness rewh rewhe rewhd rewhlying rewhed rewhering".split()
+    banned = "thatin thatiner thatined thatinerly thatinated thatineation thatinlying".split()
+    texts = [f"one {w} of the end" for w in words] + [f"hehe of the {w}" for w in banned] + ["hehe of it", "of the", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0] for r in con.execute(catalog.oracle_sql()["flt10_indexed_search"]).fetchall()}
+    got = [r["doc_id"] for r in catalog.queries()["flt10_indexed_search"](spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and words.index("hehelying") not in want and len(words) + banned.index("thatinerly") in want

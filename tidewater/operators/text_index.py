@@ -8,7 +8,8 @@ columns. scan() answers the same queries by reading every text and is the index'
 
 Queries: any of the words, whatever their endings (stop words do not count); every "quoted
 phrase", as whole words in a row without stemming; and none of the -words. A query of phrases
-only needs all of them; one of -words or stop words only finds nothing.
+only needs all of them; one of -words or stop words only finds nothing. Where a query tells the
+forms of a word, those spellings count in place of all that have its stem.
 
 Odd cases: null columns are empty; rows with a null id cannot be found; rows that repeat an id
 are one text for each, and the id is found once if any of them fits in all parts.
@@ -17,7 +18,7 @@ are one text for each, and the id is found once if any of them fits in all parts
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,13 +39,19 @@ class Query:
     stems: frozenset[str]
     phrases: tuple[tuple[str, ...], ...]
     banned: frozenset[str]
+    #: Spellings that count as they are, of words whose forms are told.
+    words: frozenset[str] = frozenset()
+    banned_words: frozenset[str] = frozenset()
 
     @classmethod
-    def of(cls, text: str) -> Query:
+    def of(cls, text: str, forms: Mapping[str, Sequence[str]] | None = None) -> Query:
+        forms = forms or {}
         quoted = tuple(p for p in (tuple(words_of(q)) for q in re.findall(r'(?<!-)"([^"]*)"', text)) if p)
         rest = re.sub(r'"[^"]*"', " ", text).lower().split()
-        some = lambda banned: frozenset(stem(w) for t in rest if t.startswith("-") == banned for w in words_of(t) if w not in SEARCH_STOPWORDS)
-        return cls(some(False), quoted, some(True))
+        some = lambda banned: [w for t in rest if t.startswith("-") == banned for w in words_of(t) if w not in SEARCH_STOPWORDS]
+        stems = lambda asked: frozenset(stem(w) for w in asked if w not in forms)
+        words = lambda asked: frozenset(f for w in asked for f in forms.get(w, ()))
+        return cls(stems(some(False)), quoted, stems(some(True)), words(some(False)), words(some(True)))
 
 
 def words_of(text: str) -> list[str]:
@@ -100,44 +107,50 @@ class TextIndex:
     def open(cls, spark: SparkSession, path: str) -> TextIndex:
         return cls(spark.read.parquet(f"{path}/index"))
 
-    def _of(self, stems) -> DataFrame:
-        return self.table.where(F.col("stem").isin(sorted(stems)))
+    def _of(self, stems, words=()) -> DataFrame:
+        """The postings of stems, and those of words as they are spelled."""
+        whole = F.col("stem").isin(sorted(stems))
+        spelled = F.col("stem").isin(sorted({stem(w) for w in words})) & F.col("word").isin(sorted(words))
+        return self.table.where((whole | spelled if stems else spelled) if words else whole)
 
     def _with_phrase(self, phrase: tuple[str, ...]) -> DataFrame:
         """(id, row) of the rows that hold the words in a row: each word tells where the phrase would begin, and all have to agree."""
         at = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(i).alias("i")) for i, w in enumerate(phrase)))
-        told = self._of({stem(w) for w in phrase}).where(F.col("word").isin(sorted(set(phrase))))
+        told = self._of((), set(phrase))
         told = told.select("id", "row", "positions", F.explode(F.filter(at, lambda x: x["word"] == F.col("word"))).alias("p"))
         begins = told.select("id", "row", F.explode(F.transform("positions", lambda x: x - F.col("p.i"))).alias("begin"))
         return begins.groupBy("id", "row", "begin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase)).select("id", "row").distinct()
 
-    def search(self, text: str) -> DataFrame:
-        """(id) of what a query finds."""
-        q = Query.of(text)
+    def search(self, text: str, forms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+        """(id) of what a query finds; forms: the spellings that count for a word of the query."""
+        q = Query.of(text, forms)
         found = None
-        if q.stems:
-            found = self._of(q.stems).select("id", "row").distinct()
+        if q.stems or q.words:
+            found = self._of(q.stems, q.words).select("id", "row").distinct()
         for phrase in q.phrases:
             own = self._with_phrase(phrase)
             found = own if found is None else found.join(own, ["id", "row"], "left_semi")
         if found is None:
             return self.table.where(F.lit(False)).select("id")
-        if q.banned:
-            found = found.join(self._of(q.banned).select("id", "row"), ["id", "row"], "left_anti")
+        if q.banned or q.banned_words:
+            found = found.join(self._of(q.banned, q.banned_words).select("id", "row"), ["id", "row"], "left_anti")
         return found.select("id").distinct()
 
 
-def scan(df: DataFrame, key: str, columns: Sequence[str], text: str) -> DataFrame:
+def scan(df: DataFrame, key: str, columns: Sequence[str], text: str, forms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(id) of what a query finds, by reading every text."""
-    q = Query.of(text)
+    q = Query.of(text, forms)
+    asked = bool(q.stems or q.words)
 
     @F.pandas_udf("boolean")
     def fits(texts: pd.Series) -> pd.Series:
         def one(own) -> bool:
             words = [words_of(t) for t in own]
-            stems = {stem(w) for ws in words for w in ws}
+            spelled = {w for ws in words for w in ws}
+            stems = {stem(w) for w in spelled}
             phrased = all(any(tuple(ws[i : i + len(p)]) == p for ws in words for i in range(len(ws) - len(p) + 1)) for p in q.phrases)
-            return bool(q.stems or q.phrases) and (not q.stems or bool(stems & q.stems)) and phrased and not stems & q.banned
+            fitting = not asked or bool(stems & q.stems or spelled & q.words)
+            return (asked or bool(q.phrases)) and fitting and phrased and not stems & q.banned and not spelled & q.banned_words
 
         return pd.Series([one(t) for t in texts])
 
