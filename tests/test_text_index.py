@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.functions.stemming import stem
 from tidewater.operators import text_index as X
@@ -93,3 +94,24 @@ def test_query_has_the_endings_of_its_sql(spark, tmp_path):
     want = {r[0] for r in con.execute(catalog.oracle_sql()["flt10_indexed_search"]).fetchall()}
     got = [r["doc_id"] for r in catalog.queries()["flt10_indexed_search"](spark, f"file://{tmp_path}").collect()]
     assert len(got) == len(set(got)) and set(got) == want and words.index("hehelying") not in want and len(words) + banned.index("thatinerly") in want
+
+
+def test_slices_hold_what_rows_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SLICE", 150)
+    df = spark.createDataFrame(rows(2, 300), SCHEMA).selectExpr("cast(id as string) as id", "title", "body").coalesce(2)
+    index = X.TextIndex.write(df, "id", ["title", "body"], f"file://{tmp_path}/a")
+    assert 20 < index.table.select("row").distinct().count() < 300
+    for query in ("grants", '"of the" -policy', '"for study" "of the" fund', '"grant grant"', "none"):
+        got = [r["id"] for r in index.search(query).collect()]
+        assert len(got) == len(set(got)) and set(got) == {str(i) for i in plain(rows(2, 300), query)}
+
+
+def test_index_has_a_row_for_a_word_and_slice(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    df = spark.range(6000, numPartitions=2).withColumn("text", F.concat_ws(" ", *map(F.lit, words), F.col("id").cast("string")))
+    made = X.postings(df, "id", ["text"])
+    assert made.where("word like 'w%'").count() == 2 * len(words)  # a row for each text: 240,000, held by a worker at once
+    assert "Exchange" not in made.sortWithinPartitions("stem")._jdf.queryExecution().executedPlan().toString()
+    index = X.TextIndex.write(df, "id", ["text"], f"file://{tmp_path}/a")
+    assert index.search('"w38 w39"').count() == 6000 and [r["id"] for r in index.search("w7 -w8").collect()] == [] and [r["id"] for r in index.search("5999").collect()] == [5999]
+    assert {p.name for p in (tmp_path / "a").iterdir()} == {"index"}
